@@ -3,19 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jaccard_join import jaccard_components
+from . import decontaminate, jaccard_join, packing, repetition
 from .shared import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; the package that holds these is found, not imported."""
+    return str(Path(find_spec("public_tokenizers").origin).parent / name)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("longest")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_matrices(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_certified(pieces).drop("salt")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_token_id_output": op9_token_id_output,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP4_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_OP4_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_OP4_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, m, w[i:i + m - 1] AS g
+        FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+              FROM (SELECT item_id, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0))),
+docwin AS (SELECT doc_id, m, i, w[i:i + m - 1] AS g
+           FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win))),
+found AS (SELECT doc_id, item_id, i, docwin.m AS m FROM docwin JOIN win ON docwin.m = win.m AND docwin.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+         FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
+"""
+
+
+def _repeated(n: int) -> str:
+    """Words in n-word windows that occur twice or more in the text, first included."""
+    return f"""(SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + {n})) AS p FROM (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times
+            FROM (SELECT doc_id, i, hash(w[i:i + {n - 1}]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM d)))
+        WHERE times > 1) GROUP BY doc_id)"""
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             coalesce(three.n, 0) AS n_repeat_words, coalesce(many.n, 0) AS n_covered, coalesce(long.n, 0) AS n_long
+      FROM d LEFT JOIN {_repeated(3)} three ON d.doc_id = three.doc_id
+      LEFT JOIN {_repeated(repetition.MIN_REPEAT)} many ON d.doc_id = many.doc_id
+      LEFT JOIN {_repeated(repetition.MAX_LONGEST + 1)} long ON d.doc_id = long.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= {repetition.MAX_COVERED_PERCENT} * n_words AND n_long = 0 AS kept,
+       n_covered
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL}
