@@ -7,8 +7,9 @@ from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, repetition
+from . import boilerplate, decontaminate, jaccard_join, language, licenses, packing, repetition, secrets, unigram
 from .shared import table
 
 
@@ -17,6 +18,23 @@ def tokenizer_file(name: str) -> str:
     return str(Path(find_spec("public_tokenizers").origin).parent / name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda i: F.coalesce(F.crc32(i.cast("string")) % 4, F.lit(-1))
+    model = language.train(docs, usable=lambda i: fold(i) != 2)
+    found = language.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -25,6 +43,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("longest")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.recognise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentences", " ").alias("sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -39,13 +66,57 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_license_scans": op7_license_scans,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_id_output": op9_token_id_output,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+k AS (SELECT doc_id, source, text, lines, [trim(x, ' ' || chr(9) || chr(13)) FOR x IN lines] AS keys FROM d),
+pages AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
+l AS (SELECT source, key, count(*) AS n FROM (SELECT source, unnest(list_distinct(keys)) AS key FROM k WHERE source IS NOT NULL) WHERE key <> '' GROUP BY source, key),
+bad AS (SELECT l.source, list(key) AS bad FROM l JOIN pages ON l.source = pages.source
+        WHERE l.n >= {boilerplate.LEAST_PAGES} AND l.n > {boilerplate.RATIO} * pages.n GROUP BY l.source),
+j AS (SELECT doc_id, text, lines, [x FOR x IN lines IF NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(13)))] AS kept
+      FROM k LEFT JOIN bad ON k.source = bad.source)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN len(kept) < len(lines) THEN array_to_string(kept, chr(10)) ELSE text END AS text
+FROM j
+"""
+
+
+def _op7_sql() -> str:
+    """Sentences by map, then a column for each rule: where it matches, its name is noted and its sentences go."""
+    keys = ", ".join(f"'{k}'" for k in licenses.KNOWN)
+    names = ", ".join(f"'{k}'" for k in licenses.KNOWN.values())
+    cut = lambda ends: f"[x FOR x IN [map([{keys}], [{names}])[trim(regexp_replace(lower(y), '[^a-z0-9]+', ' ', 'g'))] FOR y IN string_split_regex({ends}, chr(1))] IF x IS NOT NULL]"
+    # RE2 has no look-behind: the stop stays, then a mark stands for the break
+    by_line = r"regexp_replace(regexp_replace(t, '([.!?:;])\s+', '\1' || chr(1), 'g'), '\n', chr(1), 'g')"
+    wrapped = r"regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g')"
+    state, found = "' ' || array_to_string(ids, '  ') || ' '", "[]::VARCHAR[]"
+    ctes = [f"s0 AS (SELECT doc_id, way, ids, {state} AS state, {found} AS found FROM both_ways)"]
+    for i, (name, ids) in enumerate(licenses.RULES):
+        sought = " " + ids.replace(" ", "  ") + " "
+        ctes.append(f"s{i + 1} AS (SELECT doc_id, way, ids, replace(state, '{sought}', ' - ') AS state, CASE WHEN contains(state, '{sought}') THEN list_append(found, '{name}') ELSE found END AS found FROM s{i})")
+    hint = licenses.HINT.replace("(?i)", "")
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{hint}', 'i') THEN text ELSE '' END AS t FROM documents),
+both_ways AS (SELECT doc_id, 0 AS way, {cut(by_line)} AS ids FROM d UNION ALL SELECT doc_id, 1 AS way, {cut(wrapped)} AS ids FROM d),
+{", ".join(ctes)}
+SELECT doc_id, array_to_string(CASE WHEN len(max(ids) FILTER (way = 0)) >= len(max(ids) FILTER (way = 1)) THEN max(ids) FILTER (way = 0) ELSE max(ids) FILTER (way = 1) END, ' ') AS sentences,
+       array_to_string(list_sort(list_distinct(flatten(list(found)))), ',') AS licenses
+FROM s{len(licenses.RULES)} GROUP BY doc_id
+"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP4_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -93,4 +164,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_license_scans": _op7_sql(), "op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL}
