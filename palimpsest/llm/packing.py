@@ -20,7 +20,7 @@ from .shared import cut
 
 #: Pieces that one task packs at once.
 GROUP_ROWS = 40_000
-#: Fewest groups of the first round, so that they spread over a cluster's tasks.
+#: Fewest groups of id matrices, so that they spread over a cluster's tasks.
 LEAST_GROUPS = 48
 #: Most rounds of exchange between groups whose bound leaves a gap.
 ROUNDS = 6
@@ -157,9 +157,11 @@ def _pack_group(capacity: int, last: bool, number: int):
         lengths = t.column("length").to_numpy()
         bin_of, offset, left = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(lengths, capacity)
-        certified = len(left) == bound
-        # bins stay if the bound certifies their number, or if they are full; the others' pieces are exchanged
-        settled = np.full(len(lengths), True) if last or certified else left[bin_of] == 0
+        # a certified group gives up its emptiest bin, one with a gap all that aren't full: their pieces are exchanged
+        stays = np.full(len(left), True) if last or len(left) == bound else left == 0
+        if not last and len(left) == bound:
+            stays[left.argmax()] = left.max() == 0
+        settled = stays[bin_of]
         sequence = (number << 56) + (key[0].as_py() << 20) + bin_of
         out = {c: t.column(c) for c in _CARRIED}
         n = len(lengths)
@@ -172,18 +174,17 @@ def pack_certified(pieces: DataFrame, *, capacity: int = 2048, group_rows: int =
     """Pieces with ``sequence_id`` and ``offset``, in as few sequences as the rounds reach.
 
     Groups of bounded size are packed by best-fit decreasing, and lower bounds
-    certify a group's number of sequences.  A group with a gap keeps its full
-    sequences and gives the pieces of the others to the exchange: these are
-    dealt to fewer groups and packed anew, until no gap is left, one group held
-    all, or the rounds are over.  Repeated rows are pieces like any other; no
-    rows give no rows.
+    certify a group's number of sequences.  A certified group keeps all but its
+    emptiest sequence, as groups' bounds are rounded up one by one; a group with
+    a gap keeps its full ones.  The other pieces are exchanged: dealt to fewer
+    groups and packed anew, until one group holds all that is left or the rounds
+    are over.  Repeated rows are pieces like any other; no rows give no rows.
     """
     spark, keep = pieces.sparkSession, [*_CARRIED, "sequence_id", "offset"]
     waiting, done = cut(pieces.select(*_CARRIED)), None
     n = waiting.count()
-    least = LEAST_GROUPS
     for number in range(rounds):
-        groups = max(least if number == 0 else 1, -(-n // group_rows))
+        groups = max(1, -(-n // group_rows))
         last = groups == 1 or number == rounds - 1
         spread = F.pmod(F.xxhash64("doc_id", "piece", "salt", F.lit(number)), F.lit(groups)).alias("part")
         packed = cut(waiting.select(*_CARRIED, spread).groupBy("part").applyInArrow(_pack_group(capacity, last, number), _PLAN))

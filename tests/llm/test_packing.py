@@ -4,7 +4,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from palimpsest.llm import packing
 from palimpsest.llm.packing import best_fit_decreasing, lower_bound, pack_certified, pack_matrices, token_pieces
 from tokenizers import Tokenizer
 
@@ -57,8 +56,7 @@ def ids_of(text):
     return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_plan_is_whole_and_tight(spark, monkeypatch):
-    monkeypatch.setattr(packing, "LEAST_GROUPS", 3)
+def test_plan_is_whole_and_tight(spark):
     rows = rows_of(1)
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as piece", "2 as salt", "3 as length")
     plan = pack_certified(token_pieces(docs, PATH, capacity=512), capacity=512, group_rows=40).collect()
