@@ -14,6 +14,7 @@ end.  Nothing here leaves the JVM.
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -73,11 +74,26 @@ class Const:
         return self.term().column()
 
 
+@dataclass(frozen=True)
+class Ref:
+    """A term column by name, for use before there is a session."""
+
+    name: str
+
+
+def numbered(name: str) -> Term:
+    """A variable whose numeric parts ``Solutions.numbers`` has made columns of."""
+    t = as_term(name)
+    return Term(t.kind, t.lex, t.dt, t.lang, t.id, F.col(f"{name}__exact"), F.col(f"{name}__wide"), F.col(f"{name}__rank"))
+
+
 def as_term(x) -> Term:
     if isinstance(x, Term):
         return x
+    if isinstance(x, Ref):
+        x = x.name
     if isinstance(x, Const):
-        return x.term()
+        return constant_number(x) if x.kind == LITERAL and x.datatype in (*INTEGERS, DECIMAL, DOUBLE) and re.fullmatch(r"[+-]?[0-9]+(\.[0-9]+)?", x.value) else x.term()
     x = F.col(x) if isinstance(x, str) else x
     return Term(x["kind"], x["lex"], x["dt"], x["lang"], x["id"])
 
@@ -87,7 +103,7 @@ def on_terms(f):
 
     @functools.wraps(f)
     def run(*args, **options):
-        return f(*[as_term(a) if isinstance(a, (Column, Const, Term)) else a for a in args], **options)
+        return f(*[as_term(a) if isinstance(a, (Column, Const, Ref, Term)) else a for a in args], **options)
 
     return run
 
@@ -272,6 +288,8 @@ def ebv(t) -> Column:
 def eq(a, b) -> Column:
     """SPARQL ``=``: value equality of known types, else term equality, or an error for unlike literals of unknown types."""
     numbers = rank(a).isNotNull() & rank(b).isNotNull()
+    if a.rank is not None or b.rank is not None:  # a number: nothing but a number is equal to it
+        return F.when(numbers, F.coalesce(dec(a) == dec(b), _equal_doubles(a, b))).when((a.kind != LITERAL) | (b.kind != LITERAL), False)
     exact = F.coalesce(dec(a) == dec(b), _equal_doubles(a, b))
     stamps = a.dt.isin(DATETIME, DATE) & (a.dt == b.dt)
     known = a.dt.isin(STRING, LANG) & b.dt.isin(STRING, LANG)
@@ -298,8 +316,11 @@ def ne(a, b) -> Column:
 def lt(a, b) -> Column:
     """SPARQL ``<``; incomparable literals are an error."""
     x, y = dbl(a), dbl(b)
+    numeric = F.when(rank(a).isNotNull() & rank(b).isNotNull(), F.coalesce(dec(a) < dec(b), (x < y) & ~F.isnan(x) & ~F.isnan(y)))
+    if a.rank is not None or b.rank is not None:
+        return numeric
     return (
-        F.when(rank(a).isNotNull() & rank(b).isNotNull(), F.coalesce(dec(a) < dec(b), (x < y) & ~F.isnan(x) & ~F.isnan(y)))
+        numeric
         .when((a.dt == STRING) & (b.dt == STRING), a.lex < b.lex)
         .when((a.dt == BOOLEAN) & (b.dt == BOOLEAN), ~boolean(a) & boolean(b))
         .when(a.dt.isin(DATETIME, DATE) & (a.dt == b.dt), stamp(a) < stamp(b))
@@ -337,6 +358,14 @@ def order_keys(t, descending: bool = False) -> list[Column]:
 # construction of results -------------------------------------------------------------------------------------------
 
 
+def constant_number(c: Const) -> Term:
+    """A numeric constant with its value worked out here."""
+    t = c.term()
+    r = 1 if c.datatype in INTEGERS else {DECIMAL: 2, FLOAT: 3, DOUBLE: 4}[c.datatype]
+    exact = F.lit(c.value).cast("decimal(38,10)") if r <= 2 else F.lit(None).cast("decimal(38,10)")
+    return Term(t.kind, t.lex, t.dt, t.lang, None, exact, F.lit(float(c.value)), F.lit(r))
+
+
 def number(exact: Column | None, wide: Column, r: Column) -> Term:
     """A numeric literal of rank r; integers and decimals in their shortest form."""
     if exact is None:
@@ -557,8 +586,6 @@ def lang_matches(t, range_: str):
 
 
 def _regex(pattern: str, flags: str) -> str:
-    import re
-
     pattern = re.escape(pattern) if "q" in flags else pattern
     inline = "".join(f for f in flags if f in "imsx")
     return f"(?{inline}){pattern}" if inline else pattern

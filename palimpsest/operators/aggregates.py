@@ -15,14 +15,14 @@ def count(name: str | None = None, distinct: bool = False) -> T.Term:
     return T.integer(F.count_distinct(x) if distinct else F.count(x))
 
 
-def _numeric(name: str, distinct: bool):
+def _numeric(name, distinct: bool):
     t = T.as_term(name)
     total, ok = F.count("*"), F.count(T.dbl(t))
     add = (lambda x: F.sum_distinct(x)) if distinct else F.sum
     return t, total == ok, add
 
 
-def sum_(name: str, distinct: bool = False) -> T.Term:
+def sum_(name, distinct: bool = False) -> T.Term:
     """Promoted sum; 0 of nothing; an error if a value isn't numeric."""
     t, fine, add = _numeric(name, distinct)
     r = F.coalesce(F.max(T.rank(t)), F.lit(1))
@@ -30,10 +30,10 @@ def sum_(name: str, distinct: bool = False) -> T.Term:
     return T.choose(fine, T.number(exact.try_cast("decimal(38,10)"), wide, r))
 
 
-def avg(name: str, distinct: bool = False) -> T.Term:
+def avg(name, distinct: bool = False) -> T.Term:
     """Promoted mean (a decimal at least); 0 of nothing; an error if a value isn't numeric."""
     t, fine, add = _numeric(name, distinct)
-    n = F.count_distinct(F.col(name)["id"]) if distinct else F.count(name)
+    n = F.count_distinct(t.id) if distinct else F.count(t.lex)
     r = F.coalesce(F.greatest(F.max(T.rank(t)), F.lit(2)), F.lit(1))
     exact = F.coalesce(F.try_divide(add(T.dec(t)), n.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,10)"))
     wide = F.coalesce(F.try_divide(add(T.dbl(t)), n), F.lit(0.0))

@@ -111,6 +111,14 @@ class Solutions:
     def bind(self, name: str, term) -> Solutions:
         return Solutions(self.df.withColumn(name, T.as_term(term).column()), self.maybe | {name})
 
+    def numbers(self, *names: str) -> Solutions:
+        """Works out numeric values once, as columns beside the terms, for ``terms.numbered`` in what follows."""
+        new = {}
+        for n in names:
+            t = T.as_term(n)
+            new |= {f"{n}__exact": T.dec(t), f"{n}__wide": T.dbl(t), f"{n}__rank": T.rank(t)}
+        return Solutions(self.df.withColumns(new), self.maybe)
+
     def project(self, *names: str) -> Solutions:
         return Solutions(self.df.select(*names), self.maybe & set(names))
 

@@ -17,7 +17,12 @@ def read_nquads(spark: SparkSession, path: str, *, scope: str = "", graph: T.Con
 
     Blank nodes get ``scope`` before their label, so that loads don't share them.
     """
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    return parse_lines(spark.read.text(path), scope=scope, graph=graph)
+
+
+def parse_lines(lines: DataFrame, *, scope: str = "", graph: T.Const | None = None) -> DataFrame:
+    """The same for lines in a column ``value``."""
+    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
 
     def part(n: int) -> T.Term:
         return T.parse_ntriples(F.regexp_extract("value", _LINE, n))
