@@ -43,7 +43,7 @@ LEAST_BUCKETS = 96
 #: Shingles gathered before a map task writes a packed row for each bucket.
 FLUSH = 2_000_000
 #: Points of a region that one task compares; larger ones are dealt out as pairs of blocks.
-REGION_ROWS = 1500
+REGION_ROWS = 500
 #: Points that a cell compares without further pivots, and pivots of a region.
 LEAF, PIVOTS = 48, 6
 #: Stands for a null id while nodes are compared, so that it is the largest.
