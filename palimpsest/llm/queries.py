@@ -164,4 +164,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_license_scans": _op7_sql(), "op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL}
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(w[i:i + 4]) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT d.doc_id, count(g) AS n_shingles FROM d LEFT JOIN sh ON d.doc_id = sh.doc_id GROUP BY d.doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * i >= 75 * (a.n_shingles + b.n_shingles - i)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
+SELECT n.doc_id, n_shingles, coalesce(least(n.doc_id, low), n.doc_id) AS component_id
+FROM n LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) r ON n.doc_id = r.x
+"""
+
+ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": OP8_SQL, "op2_line_dedup": OP2_SQL, "op7_license_scans": _op7_sql(), "op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL}
