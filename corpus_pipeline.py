@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their site's boilerplate lines; ``n_chars`` follows a changed text.  No document goes."""
-    cleaned = boilerplate.drop_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return boilerplate.drop_boilerplate(docs).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +36,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = jaccard_join.jaccard_components(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    kept = rows.join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
-    marked = decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where("_hit = 0").select(*docs.columns)
+    return decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

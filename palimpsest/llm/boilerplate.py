@@ -36,26 +36,23 @@ def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: st
 
 
 def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of its text, and ``_lines``, ``_dropped``.
+    """``row`` (a document's row as it was, whatever its columns), ``text`` without boilerplate lines, ``n_lines``, ``n_dropped``.
 
     Blank lines and pages without a host stay as they are; a null text stays
     null with 0 lines; a page of boilerplate alone becomes an empty text.
-    Repeated rows count as pages of their own.  All other columns stay.
+    Repeated rows count as pages of their own.
     """
-    bad = cut(boilerplate_lines(docs, host_col=host_col, text_col=text_col, ratio=ratio, least_pages=least_pages)).select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
-    size = bad.agg(F.sum(F.size("_bad"))).first()[0] or 0
+    bad = cut(boilerplate_lines(docs, host_col=host_col, text_col=text_col, ratio=ratio, least_pages=least_pages))
+    size = bad.agg(F.sum(F.size("bad"))).first()[0] or 0
+    rows = docs.select(F.struct("*").alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     if size <= broadcast_hashes:
-        joined = docs.join(F.broadcast(bad), docs[host_col].eqNullSafe(F.col("_host")), "left")
+        joined = rows.join(F.broadcast(bad), "host", "left")
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
-        spread = bad.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, (salted[host_col] == F.col("_host")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_bad", _key(x)), F.lit(False)))
-    counted = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept)).withColumns(
-        {
-            "_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "_dropped": F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"),
-        }
-    )
-    return counted.withColumn(text_col, F.when(F.col("_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))).drop("_kept", "_bad", "_host")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+        joined = salted.join(bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("bad", _key(x)), F.lit(False)))
+    parts = joined.select("row", "text", F.when(F.col("bad").isNotNull(), kept).alias("kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"))
+    dropped = F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long")
+    counted = parts.withColumn("n_dropped", dropped)
+    return counted.select("row", F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"), "n_lines", "n_dropped")

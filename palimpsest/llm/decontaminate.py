@@ -159,7 +159,7 @@ def _search_map(tables, names: list[str]):
                     hits.append(n)
                     marks_out.append(marks)
                     items_out.append(sorted(items))
-            new = {"_words": pa.array(counts, pa.int64()), "_hit": pa.array(hits, pa.int64()), "_marks": pa.array(marks_out, pa.binary()), "_items": pa.array(items_out, pa.list_(pa.int64()))}
+            new = {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(hits, pa.int64()), "marks": pa.array(marks_out, pa.binary()), "items": pa.array(items_out, pa.list_(pa.int64()))}
             cols = [new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([(f.name, c.type) for f, c in zip(batch.schema, cols)]))
 
@@ -167,11 +167,13 @@ def _search_map(tables, names: list[str]):
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_windows: int = PASS_WINDOWS) -> DataFrame:
-    """``docs`` with ``_words``, ``_hit`` (words inside an occurrence), ``_items`` (their sorted ids) and ``_marks``.
+    """``row`` (a document's row, whatever its columns), ``text``, ``n_words``, ``n_hit``, ``items`` and ``marks``.
+
+    ``n_hit`` counts words inside an occurrence, ``marks`` has a bit for each
+    word, ``items`` are the sorted ids of items with occurrences.
 
     A null or wordless text has no words and no hits; an item without words or
-    id is left out; repeated items count once.  Rows keep all their columns and
-    are not shuffled.  The benchmark's windows are counted first: up to
+    id is left out; repeated items count once.  Rows are not shuffled.  The benchmark's windows are counted first: up to
     ``pass_windows`` go out in one broadcast, more in as many passes as needed.
     """
     spark = docs.sparkSession
@@ -179,7 +181,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     windows = cut(windows.mapInArrow(_windows_map(window), "item long, words binary").distinct())
     n = windows.count()
     passes = max(1, -(-n // pass_windows))
-    rows = docs.withColumns({"_words": F.lit(0).cast("long"), "_hit": F.lit(0).cast("long"), "_marks": F.lit(None).cast("binary"), "_items": F.array().cast("array<bigint>")})
+    zero = F.lit(0).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), zero.alias("n_words"), zero.alias("n_hit"), F.lit(None).cast("binary").alias("marks"), F.array().cast("array<bigint>").alias("items"))
     for number in range(passes):
         part = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
         by_size: dict[int, tuple[list, list]] = {}
@@ -188,7 +191,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
             keys.append(np.frombuffer(words, np.uint64))
             names.append(item)
         tables = spark.sparkContext.broadcast([build(np.stack(keys), names) for keys, names in by_size.values()])
-        rows = rows.mapInArrow(_search_map(tables, [text_col, "_marks", "_items"]), rows.schema)
+        rows = rows.mapInArrow(_search_map(tables, ["text", "marks", "items"]), rows.schema)
         if passes > 1:
             rows = cut(rows)
     return rows
@@ -197,13 +200,13 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
     marked = mark_contamination(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
-    names = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return marked.select(
-        "doc_id",
-        F.col("_words").alias("n_words"),
-        F.col("_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"),
-        (F.col("_hit") > 0).alias("contaminated"),
-        F.col("_items").alias("items"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "items",
     )

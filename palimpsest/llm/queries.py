@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    return cleaned.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_dropped_lines_match_brute_force(spark, limit):
         lines = [rng.choice(["menu", " menu\t", "", " ", "footer\r", "é", f"own {i}", f"rare {i % 40}"]) for _ in range(rng.randrange(7))]
         rows.append((rng.choice([i, None]), rng.choice(["\n".join(lines)] * 9 + [None]), None, host, None))
     rows += [rows[0], rows[0], (5, "menu\nfooter", None, "hot", None)]
-    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as bad", "3 as pages", "4 as line")
-    got = drop_boilerplate(docs, ratio=0.2, least_pages=3, broadcast_hashes=limit).select("doc_id", "text", "_lines", "_dropped")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as bad", "3 as pages", "4 as line", "5 as row", "6 as n_lines")
+    got = drop_boilerplate(docs, ratio=0.2, least_pages=3, broadcast_hashes=limit).select("row.doc_id", "text", "n_lines", "n_dropped")
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 0.2, 3)
     assert drop_boilerplate(spark.createDataFrame([], SCHEMA)).collect() == []
