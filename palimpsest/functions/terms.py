@@ -44,9 +44,14 @@ class Term:
             return F.when(self.lex.isNotNull(), F.xxhash64(self.kind, self.lex, F.coalesce(self.dt, F.lit("")), F.coalesce(self.lang, F.lit(""))))
         return self._id
 
+    def struct(self) -> Column:
+        """The struct of a term that is always there; single fields then need no struct at all."""
+        id_ = self._id if self._id is not None else F.xxhash64(self.kind, self.lex, F.coalesce(self.dt, F.lit("")), F.coalesce(self.lang, F.lit("")))
+        return F.struct(id_.alias("id"), self.kind.alias("kind"), self.lex.alias("lex"), self.dt.alias("dt"), self.lang.alias("lang"))
+
     def column(self) -> Column:
         """The struct; NULL where the lexical form is."""
-        return F.when(self.lex.isNotNull(), F.struct(self.id.alias("id"), self.kind.alias("kind"), self.lex.alias("lex"), self.dt.alias("dt"), self.lang.alias("lang")))
+        return F.when(self.lex.isNotNull(), self.struct())
 
     def alias(self, name: str) -> Column:
         return self.column().alias(name)
@@ -71,7 +76,7 @@ class Const:
         return make(self.kind, F.lit(self.value), self.datatype, None if self.tag is None else F.lit(self.tag.lower()))
 
     def column(self) -> Column:
-        return self.term().column()
+        return self.term().struct()
 
 
 @dataclass(frozen=True)

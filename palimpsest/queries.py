@@ -187,8 +187,8 @@ def bgp_q5(spark, sf_dir):
     """Local suppliers' revenue: a pattern whose variables form a cycle."""
     a, b = Var("ext"), Var("disc")
     m = graph(spark, sf_dir, *Q5).bgp(
-        (n, p("nation.n_name"), v), (s, p("supplier.s_nationkey"), n), (c, p("customer.c_nationkey"), n), (o, p("orders.o_custkey"), c),
-        (l, p("lineitem.l_orderkey"), o), (l, p("lineitem.l_suppkey"), s), (l, p("lineitem.l_extendedprice"), a), (l, p("lineitem.l_discount"), b),
+        (l, p("lineitem.l_suppkey"), s), (s, p("supplier.s_nationkey"), n), (l, p("lineitem.l_orderkey"), o), (o, p("orders.o_custkey"), c),
+        (c, p("customer.c_nationkey"), n), (n, p("nation.n_name"), v), (l, p("lineitem.l_extendedprice"), a), (l, p("lineitem.l_discount"), b),
     )
     m = m.numbers("ext", "disc")
     return m.group("v", revenue=A.sum_(T.multiply(T.numbered("ext"), T.subtract(L(1), T.numbered("disc"))))).df.select(lex("v").alias("nname"), num("revenue").alias("revenue"))

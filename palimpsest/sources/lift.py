@@ -48,15 +48,15 @@ def value(c: Column, kind: S.DataType) -> T.Term:
 
 
 def lift_table(df: DataFrame, table: str, *, columns: list[str] | None = None, keys: list[str] | None = None, graph: Column | None = None) -> DataFrame:
-    """Quads of one table; NULLs give none.  A table without a key has a hash of whole rows as subject."""
+    """Quads of one table; NULLs give none.  A table without a key has a 128-bit hash of whole rows as subject."""
     keys = keys or KEYS.get(table)
-    s = subject(table, *[F.col(k) for k in keys]) if keys else subject(table, F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]), 256))
+    s = subject(table, *[F.col(k) for k in keys]) if keys else subject(table, *[F.hex(F.xxhash64(F.lit(i), *df.columns)) for i in (1, 2)])
     g = DEFAULT.column() if graph is None else graph
     types = {f.name: f.dataType for f in df.schema}
     parts = []
     for c in columns or df.columns:
         o = subject(REFERENCES[c], F.col(c)) if c in REFERENCES else value(F.col(c), types[c])
-        parts.append(df.where(F.col(c).isNotNull()).select(s.alias("s"), predicate(table, c).column().alias("p"), o.alias("o"), g.alias("g")))
+        parts.append(df.where(F.col(c).isNotNull()).select(s.struct().alias("s"), predicate(table, c).column().alias("p"), o.struct().alias("o"), g.alias("g")))
     return reduce(DataFrame.union, parts)
 
 
@@ -71,7 +71,7 @@ def lift(spark: SparkSession, sf_dir: str, *columns: str, tables: dict[str, Data
 
 def edges(df: DataFrame, p: str = "urn:e") -> DataFrame:
     """Quads of an edge table with integer columns x and y."""
-    return df.select(subject("v", F.col("x")).alias("s"), T.I(p).column().alias("p"), subject("v", F.col("y")).alias("o"), DEFAULT.column().alias("g"))
+    return df.select(subject("v", F.col("x")).struct().alias("s"), T.I(p).column().alias("p"), subject("v", F.col("y")).struct().alias("o"), DEFAULT.column().alias("g"))
 
 
 def in_graph(quads: DataFrame, graph: T.Const) -> DataFrame:
