@@ -50,7 +50,7 @@ LEAF, PIVOTS = 48, 6
 NO_ID = 2**63 - 1
 
 _KEY = "id long, th long"
-_PACK = f"bucket int, ids binary, ths binary, runs binary, prints binary, n binary, n_half binary, h1 binary, h2 binary"
+_PACK = "bucket int, ids binary, ths binary, runs binary, prints binary, n binary, n_half binary, h1 binary, h2 binary"
 
 
 def _need(n, num, den):

@@ -6,7 +6,6 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import test_boilerplate, test_decontaminate, test_jaccard_join
