@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.update import QUAD, apply, net, signed, subtract
+from ..operators.update import QUAD, signed, subtract
 from ..plans.graph import distinct_quads
 
 
@@ -90,6 +90,3 @@ def bisect(chain: list[str], bad) -> str | None:
         mid = (low + high) // 2
         low, high = (low, mid) if bad(chain[mid]) else (mid + 1, high)
     return chain[low] if low < len(chain) else None
-
-
-__all__ = ["apply", "bisect", "blame", "difference", "first_seen", "merge_prefixes", "merge_provenance", "merge_three_way", "merge_union", "net", "sequence", "snapshot", "squash"]

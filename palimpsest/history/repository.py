@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..operators import update
 from ..operators.update import QUAD
 from . import algebra
 
@@ -341,4 +340,4 @@ def clone(spark: SparkSession, source: Repository, root: str) -> Repository:
     return out
 
 
-__all__ = ["Commit", "Conflict", "Repository", "clone", "commit_id", "update"]
+__all__ = ["Commit", "Conflict", "Repository", "clone", "commit_id"]

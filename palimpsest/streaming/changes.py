@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..history.repository import DELTA, Repository
-from ..operators.update import QUAD
+
 
 
 def change_feed(spark: SparkSession, repository: Repository) -> DataFrame:
@@ -31,4 +31,4 @@ def touched_subjects(feed: DataFrame) -> DataFrame:
     return feed.groupBy(F.col("s")["lex"].alias("subject")).agg(F.count_if(F.col("op") == 1).alias("inserts"), F.count_if(F.col("op") == -1).alias("deletes"))
 
 
-__all__ = ["QUAD", "change_feed", "predicate_counts", "sink", "touched_subjects"]
+__all__ = ["change_feed", "predicate_counts", "sink", "touched_subjects"]
