@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..history.repository import DELTA, Repository
 
 
-
 def change_feed(spark: SparkSession, repository: Repository) -> DataFrame:
     """A streaming DataFrame ``op, s, p, o, g, commit``; each commit's files are new input."""
     return spark.readStream.schema(f"{DELTA}, commit string").parquet(f"{repository.root}/deltas")
