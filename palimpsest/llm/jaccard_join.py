@@ -6,6 +6,9 @@ windows find every linked pair without looking at all pairs:
 1. *Isolation.*  Half of the shingle space (top key bit 0) is dealt to buckets
    as packed fingerprints.  A document with more unshared shingles there than
    the threshold allows to miss is farther than the radius from all others.
+   A shingle met twice in a map task's run is known to be shared: the run's
+   documents are credited there, and one witness of it goes to its bucket, so
+   that a shingle of a third of all documents costs its bucket an entry a run.
 2. *Classes.*  Documents with equal sets are one point from here on.
 3. *Sparse distances.*  Exact document frequencies of the rest order their
    shingles, rarest first.  Points closer than the radius share a shingle of
@@ -50,7 +53,10 @@ LEAF, PIVOTS = 48, 6
 NO_ID = 2**63 - 1
 
 _KEY = "id long, th long"
-_PACK = "bucket int, ids binary, ths binary, runs binary, prints binary, n binary, n_half binary, h1 binary, h2 binary"
+_PACK = "bucket int, ids binary, ths binary, runs binary, prints binary, n binary, n_half binary, h1 binary, h2 binary, known binary"
+
+
+_SIZES = ("n", "n_half", "h1", "h2", "known")
 
 
 def _need(n, num, den):
@@ -82,6 +88,13 @@ def _packed(bucket, doc, prints, ids, ths, kind) -> list[tuple]:
     return out
 
 
+def _by_bucket(bucket: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and its prints."""
+    order = np.argsort(bucket, kind="stable")
+    of, starts = np.unique(bucket[order], return_index=True)
+    return zip(of.tolist(), np.split(prints[order], starts[1:]))
+
+
 def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
@@ -96,7 +109,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
 
 
 def _isolation_map(size: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in ("ids", "ths", "runs", "prints", "n", "n_half", "h1", "h2")])
+    schema = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in ("ids", "ths", "runs", "prints", *_SIZES)])
 
     def rows(held: list) -> pa.RecordBatch:
         base, docs, keys, ids, ths = 0, [], [], [], []
@@ -116,10 +129,16 @@ def _isolation_map(size: int, buckets: int):
         if some.any():
             h1[some] = np.add.reduceat(key, first[some])
             h2[some] = np.bitwise_xor.reduceat(W.mix(key ^ np.uint64(0x5851F42D4C957F2D)), first[some])
-        bucket = ((key[half] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        out = [x + (None,) * 4 for x in _packed(bucket, doc[half], (key[half] & np.uint64(0xFFFFFFFF)), ids, ths, np.uint32)]
+        doc, key = doc[half], key[half]
+        bucket, prints = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), key & np.uint64(0xFFFFFFFF)
+        twice = _shared_mask(key)
+        known, once = np.bincount(doc[twice], minlength=base), ~twice
+        none = (None,) * len(_SIZES)
+        out = [x + none for x in _packed(bucket[once], doc[once], prints[once], ids, ths, np.uint32)]
+        _, witness = np.unique(key[twice], return_index=True)
+        out += [(b, None, None, None, _bytes(p, np.uint32)) + none for b, p in _by_bucket(bucket[twice][witness], prints[twice][witness])]
         where = int(ths[0] % buckets) if base else 0
-        out.append((where, _bytes(ids, np.int64), _bytes(ths, np.int64), None, None, _bytes(n, np.int64), _bytes(n_half, np.int64), _bytes(h1, np.uint64), _bytes(h2, np.uint64)))
+        out.append((where, _bytes(ids, np.int64), _bytes(ths, np.int64), None, None, _bytes(n, np.int64), _bytes(n_half, np.int64), _bytes(h1, np.uint64), _bytes(h2, np.uint64), _bytes(known, np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def run(batches):
@@ -162,15 +181,18 @@ def _shared_mask(prints: np.ndarray) -> np.ndarray:
 def _isolation_reduce(t: pa.Table) -> pa.Table:
     """Shared shingles of each document in one bucket; the rows that tell sizes pass through."""
     prints, doc, ids, ths = _unpack(t, np.uint32)
-    shared = np.bincount(doc[_shared_mask(prints)], minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-    use = shared > 0
-    cols = {"id": [ids[use]], "th": [ths[use]], "shared": [shared[use]], "n": [np.full(use.sum(), -1)], "n_half": [np.zeros(use.sum())], "h1": [np.zeros(use.sum())], "h2": [np.zeros(use.sum())]}
-    for i, h, n, half, h1, h2 in zip(*(t.column(c).to_pylist() for c in ("ids", "ths", "n", "n_half", "h1", "h2"))):
-        if n is not None:
-            own = {"id": i, "th": h, "n": n, "n_half": half, "h1": h1, "h2": h2}
+    witnesses = [np.frombuffer(p, np.uint32) for r, p in zip(t.column("runs").to_pylist(), t.column("prints").to_pylist()) if r is None and p is not None]
+    witness = np.unique(np.concatenate(witnesses)) if witnesses else np.zeros(0, np.uint32)
+    # a witness stands for at least two documents elsewhere, so it comes twice
+    mask = _shared_mask(np.concatenate([prints, witness, witness]))[: len(prints)]
+    shared = np.bincount(doc[mask], minlength=len(ids))
+    use = np.flatnonzero(shared)
+    cols = {"id": [ids[use]], "th": [ths[use]], "shared": [shared[use]], "n": [np.full(len(use), -1)]} | {c: [np.zeros(len(use))] for c in ("n_half", "h1", "h2")}
+    for i, h, *sizes in zip(*(t.column(c).to_pylist() for c in ("ids", "ths", *_SIZES))):
+        if sizes[0] is not None:
+            own = dict(zip(("id", "th", "n", "n_half", "h1", "h2", "shared"), (i, h, *sizes)))
             for c, x in own.items():
                 cols[c].append(np.frombuffer(x, np.int64))
-            cols["shared"].append(np.zeros(len(cols["n"][-1])))
     return pa.table({c: pa.array(np.concatenate(x).astype(np.int64)) for c, x in cols.items()})
 
 

@@ -1,10 +1,14 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from palimpsest.llm import jaccard_join
+from palimpsest.llm import wordhash as W
 from palimpsest.llm.jaccard_join import _Region, jaccard_components
 
 from .helpers import SCHEMA, awkward
@@ -83,3 +87,28 @@ def test_a_region_recurs_exactly(seed):
             old, new = label[i], label[j]
             label = [new if x == old else x for x in label]
     assert len({(a, b) for a, b in zip(label, region.label)}) == len(set(label)) == len(set(region.label.tolist()))
+
+
+@pytest.mark.parametrize("flush", [1, 40, 10**6])
+def test_shared_shingles_are_counted_alike_within_and_across_runs(monkeypatch, flush):
+    monkeypatch.setattr(jaccard_join, "FLUSH", flush)
+    rng = random.Random(flush)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join(common[: rng.randrange(31)] + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(20))]) for _ in range(60)]
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(range(i, i + 10)), pa.array(texts[i : i + 10])], schema=schema) for i in range(0, 60, 10)]
+    packed = pa.Table.from_batches(list(jaccard_join._isolation_map(5, 7)(iter(batches))))
+    got, told = dict.fromkeys(range(60), 0), {}
+    for b in range(7):
+        counted = jaccard_join._isolation_reduce(packed.filter(pc.equal(packed["bucket"], b)))
+        for row in counted.to_pylist():
+            got[row["id"]] += row["shared"]
+            if row["n"] >= 0:
+                told[row["id"]] = row["n"]
+    sets = []
+    for t in texts:
+        keys = W.shingle_sets(W.words(pa.array([t]), W.SPACE, lower=True), 5)[1]
+        sets.append(keys[keys >> np.uint64(63) == 0].tolist())
+    often = Counter(k for s in sets for k in s)
+    assert got == {i: sum(often[k] > 1 for k in s) for i, s in enumerate(sets)}
+    assert told == {i: len(shingles(t)) for i, t in enumerate(texts)}
