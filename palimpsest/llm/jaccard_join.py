@@ -15,8 +15,11 @@ windows find every linked pair without looking at all pairs:
    their prefixes, so distances to all other points need not be looked at.
 4. *Regions.*  The members of a prefix shingle elect a pivot; a point goes to
    each pivot elected by one of its shingles (its boundary copies).  Both ends
-   of a link meet in a region.  A region above ``REGION_ROWS`` is dealt out as
-   pairs of blocks, each a task of its own.
+   of a link meet in a region.  In a region above ``REGION_ROWS``, points linked
+   with the pivot are one component and need no comparison with each other; the
+   rest is dealt out as pairs of blocks, with itself and with those, each a task
+   of its own.  So a group of near copies around its pivot costs one comparison
+   a point.
 5. *Recursion.*  A region picks pivots of its own, points go to the nearest
    one's cell and, as boundary copies, to each cell j with
    ``d(x, p_j) <= min(d(x, home) + 2 r, radius_j + r)``; cells recur until they
@@ -286,6 +289,22 @@ def _elect(t: pa.Table) -> pa.Table:
     return pa.table({"id": ids[pairs[:, 0]], "th": ths[pairs[:, 0]], "pid": ids[pairs[:, 1]], "pth": ths[pairs[:, 1]]})
 
 
+def _linked(num: int, den: int):
+    """Whether each member of a region is linked with the region's pivot."""
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "th", "pid", "pth")] + [("core", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            *names, n, pivot_n = (_longs(batch.column(c)) for c in ("id", "th", "pid", "pth", "n", "pivot_n"))
+            keys, pivot_keys = (batch.column(c).to_pylist() for c in ("keys", "pivot_keys"))
+            both = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(keys, pivot_keys)]
+            both = np.array(both, np.int64)
+            core = den * both >= num * (n + pivot_n - both)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(core)], schema=schema)
+
+    return run
+
+
 class _Region:
     """Points of one region, compared exactly; ``label`` holds their components."""
 
@@ -433,12 +452,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     points = cut(gathered.mapInArrow(_points(num, den), f"{_KEY}, n long, prefix long, keys binary"))
     elected = points.mapInArrow(_prefix_map(few), "bucket int, ids binary, ths binary, runs binary, prints binary").groupBy("bucket").applyInArrow(_elect, f"{_KEY}, pid long, pth long")
     homes = cut(elected.distinct())
-    parts = homes.groupBy("pid", "pth").agg(F.count("*").alias("size")).where("size > 1").select("pid", "pth", F.ceil(F.col("size") / REGION_ROWS).cast("int").alias("blocks"))
-    dealt = homes.join(parts, ["pid", "pth"]).withColumn("own", F.pmod(F.hash("id", "th"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "th", "pid", "pth", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    sizes = homes.groupBy("pid", "pth").agg(F.count("*").alias("size")).where("size > 1")
+    sized = homes.join(sizes, ["pid", "pth"])
+    whole = sized.where(F.col("size") <= REGION_ROWS).select("id", "th", "pid", "pth", *[F.lit(0).alias(c) for c in ("own", "bi", "bj")])
+    pivots = points.select(F.col("id").alias("pid"), F.col("th").alias("pth"), F.col("n").alias("pivot_n"), F.col("keys").alias("pivot_keys"))
+    large = sized.where(F.col("size") > REGION_ROWS).join(points.select("id", "th", "n", "keys"), ["id", "th"]).join(pivots, ["pid", "pth"])
+    marked = cut(large.mapInArrow(_linked(num, den), f"{_KEY}, pid long, pth long, core boolean"))
+    blocks = lambda found: F.ceil(F.count_if(found) / REGION_ROWS).cast("int")
+    counts = marked.groupBy("pid", "pth").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores"))
+    place = lambda c: F.pmod(F.hash("id", "th"), F.greatest(F.col(c), F.lit(1)))
+    # blocks of the rest come first; they meet all blocks, the pivot's neighbours only those
+    blocked = marked.join(counts, ["pid", "pth"]).where("rest > 0").withColumn("own", F.when(F.col("core"), F.col("rest") + place("cores")).otherwise(place("rest")))
+    met = F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores"))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    dealt = whole.unionByName(blocked.select("id", "th", "pid", "pth", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")))
     full = dealt.join(points.select("id", "th", "n", "keys"), ["id", "th"])
     region = ["pid", "pth", "bi", "bj"]
-    links = full.repartition(few, *region).sortWithinPartitions(*region).mapInArrow(_regions(num, den), "uid long, uth long, vid long, vth long")
+    found = full.repartition(few, *region).sortWithinPartitions(*region).mapInArrow(_regions(num, den), "uid long, uth long, vid long, vth long")
+    around = marked.where("core and not (id = pid and th = pth)").select(F.col("id").alias("uid"), F.col("th").alias("uth"), F.col("pid").alias("vid"), F.col("pth").alias("vth"))
+    links = found.unionByName(around)
     edge = lambda a: F.struct(F.col(f"{a}id").alias("id"), F.col(f"{a}th").alias("th"))
     labels = connected(cut(links).select(edge("u").alias("u"), edge("v").alias("v")))
     homes_of = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", "n", F.coalesce("label.id", "rep.id").alias("component"))

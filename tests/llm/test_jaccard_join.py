@@ -112,3 +112,19 @@ def test_shared_shingles_are_counted_alike_within_and_across_runs(monkeypatch, f
     often = Counter(k for s in sets for k in s)
     assert got == {i: sum(often[k] > 1 for k in s) for i, s in enumerate(sets)}
     assert told == {i: len(shingles(t)) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("changes", [1, 12])
+def test_a_group_around_its_pivot_is_linked_without_block_pairs(spark, monkeypatch, changes):
+    """Few changes: all points are linked with the pivot.  Many: only some are."""
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 8)
+    rng = random.Random(changes)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(70):
+        near = list(base)
+        for _ in range(rng.randrange(changes + 1)):
+            near[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near), None, None, None))
+    got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)
