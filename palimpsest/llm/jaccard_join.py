@@ -50,6 +50,8 @@ LEAST_BUCKETS = 96
 FLUSH = 2_000_000
 #: Points of a region that one task compares; larger ones are dealt out as pairs of blocks.
 REGION_ROWS = 500
+#: Memberships of large regions (32 bytes each) up to which they are broadcast; beyond, points are shuffled to them.
+BROADCAST_ROWS = 200_000
 #: Points that a cell compares without further pivots, and pivots of a region.
 LEAF, PIVOTS = 48, 6
 #: Stands for a null id while nodes are compared, so that it is the largest.
@@ -452,17 +454,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     points = cut(gathered.mapInArrow(_points(num, den), f"{_KEY}, n long, prefix long, keys binary"))
     elected = points.mapInArrow(_prefix_map(few), "bucket int, ids binary, ths binary, runs binary, prints binary").groupBy("bucket").applyInArrow(_elect, f"{_KEY}, pid long, pth long")
     homes = cut(elected.distinct())
-    sizes = homes.groupBy("pid", "pth").agg(F.count("*").alias("size")).where("size > 1")
+    # kept, so that the join with homes has two plain exchanges and a hot pivot's side can be split
+    sizes = cut(homes.groupBy("pid", "pth").agg(F.count("*").alias("size")).where("size > 1"))
     sized = homes.join(sizes, ["pid", "pth"])
     whole = sized.where(F.col("size") <= REGION_ROWS).select("id", "th", "pid", "pth", *[F.lit(0).alias(c) for c in ("own", "bi", "bj")])
+    large = cut(sized.where(F.col("size") > REGION_ROWS).select("id", "th", "pid", "pth"))
+    small = F.broadcast if large.count() <= BROADCAST_ROWS else lambda df: df
+    members = points.select("id", "th", "n", "keys").join(small(large), ["id", "th"])
     pivots = points.select(F.col("id").alias("pid"), F.col("th").alias("pth"), F.col("n").alias("pivot_n"), F.col("keys").alias("pivot_keys"))
-    large = sized.where(F.col("size") > REGION_ROWS).join(points.select("id", "th", "n", "keys"), ["id", "th"]).join(pivots, ["pid", "pth"])
-    marked = cut(large.mapInArrow(_linked(num, den), f"{_KEY}, pid long, pth long, core boolean"))
+    pivots = pivots.join(small(large.select("pid", "pth").distinct()), ["pid", "pth"], "left_semi")
+    marked = cut(members.join(pivots, ["pid", "pth"]).mapInArrow(_linked(num, den), f"{_KEY}, pid long, pth long, core boolean"))
     blocks = lambda found: F.ceil(F.count_if(found) / REGION_ROWS).cast("int")
     counts = marked.groupBy("pid", "pth").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores"))
     place = lambda c: F.pmod(F.hash("id", "th"), F.greatest(F.col(c), F.lit(1)))
     # blocks of the rest come first; they meet all blocks, the pivot's neighbours only those
-    blocked = marked.join(counts, ["pid", "pth"]).where("rest > 0").withColumn("own", F.when(F.col("core"), F.col("rest") + place("cores")).otherwise(place("rest")))
+    blocked = marked.join(small(counts), ["pid", "pth"]).where("rest > 0").withColumn("own", F.when(F.col("core"), F.col("rest") + place("cores")).otherwise(place("rest")))
     met = F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     dealt = whole.unionByName(blocked.select("id", "th", "pid", "pth", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")))

@@ -114,10 +114,11 @@ def test_shared_shingles_are_counted_alike_within_and_across_runs(monkeypatch, f
     assert told == {i: len(shingles(t)) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("changes", [1, 12])
-def test_a_group_around_its_pivot_is_linked_without_block_pairs(spark, monkeypatch, changes):
+@pytest.mark.parametrize(("changes", "broadcast"), [(1, 10**6), (12, 10**6), (12, 0)])
+def test_a_group_around_its_pivot_is_linked_without_block_pairs(spark, monkeypatch, changes, broadcast):
     """Few changes: all points are linked with the pivot.  Many: only some are."""
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 8)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", broadcast)
     rng = random.Random(changes)
     base = [f"b{i}" for i in range(200)]
     rows = []
