@@ -201,6 +201,17 @@ def _isolation_reduce(t: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(np.concatenate(x).astype(np.int64)) for c, x in cols.items()})
 
 
+def _first_rows(ids: np.ndarray, ths: np.ndarray) -> np.ndarray:
+    """Rows whose id and text hash no earlier row has."""
+    order = np.lexsort((ths, ids))
+    i, t = ids[order], ths[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+    out = np.zeros(len(order), bool)
+    out[order] = new
+    return out
+
+
 def _frequency_map(size: int, buckets: int):
     """Whole sets of the remaining points, dealt by shingle; ``n`` goes along with each document's run."""
     schema = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in ("ids", "ths", "runs", "prints", "n")])
@@ -209,6 +220,8 @@ def _frequency_map(size: int, buckets: int):
         for batch in batches:
             for ids, ths, doc, key in _sets(batch, size):
                 n = np.bincount(doc, minlength=len(ids))
+                once = _first_rows(ids, ths)[doc]
+                doc, key = doc[once], key[once]
                 bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
                 sizes = dict(zip(zip(ids.tolist(), ths.tolist()), n.tolist()))
                 rows = _packed(bucket, doc, key, ids, ths, np.uint64)
@@ -220,9 +233,11 @@ def _frequency_map(size: int, buckets: int):
 
 
 def _frequency_reduce(t: pa.Table) -> pa.Table:
-    """Of each point, its shingles in one bucket that other points have too, and their document frequencies."""
+    """Of each point, its shingles in one bucket that other points have too, and their document frequencies.  Repeated rows are one point."""
     prints, doc, ids, ths = _unpack(t, np.uint64)
     n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()] or [np.zeros(0, np.int64)])
+    once = _first_rows(ids, ths)[doc]
+    prints, doc = prints[once], doc[once]
     _, inverse, count = np.unique(prints, return_inverse=True, return_counts=True)
     df = count[inverse]
     use = df > 1

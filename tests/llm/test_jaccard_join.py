@@ -49,6 +49,22 @@ def test_components_match_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_repeated_rows_do_not_link_distant_documents(spark, copies):
+    """A whole table repeated: pairs of J from 0.2 to 0.9 around the bound, and shingles shared with a third document."""
+    rng = random.Random(copies)
+    rows = []
+    for i in range(40):
+        base = [f"d{i}w{j}" for j in range(100)]
+        kept = rng.randrange(35, 97)
+        rows.append((2 * i, " ".join(base), None, None, None))
+        rows.append((2 * i + 1, " ".join(base[:kept] + [f"e{i}w{j}" for j in range(100 - kept)]), None, None, None))
+    rows *= copies
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_large_regions_are_dealt_out_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 10)
     rng = random.Random(5)
