@@ -26,9 +26,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their site's boilerplate lines; ``n_chars`` follows a changed text.  No document goes."""
+    """Documents without their site's boilerplate lines; ``n_chars`` follows a changed text.  No document goes.
+
+    Copies of a page count once, so that the next stage finds one of them with its text.
+    """
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return boilerplate.drop_boilerplate(docs).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return boilerplate.drop_boilerplate(docs, copies_once=True).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

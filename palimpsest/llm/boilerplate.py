@@ -25,24 +25,31 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``host, bad``: hashes of the lines on more than ``ratio`` of the host's pages, and on ``least_pages``."""
-    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).where("host is not null")
+def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
+    """``host, bad``: hashes of the lines on more than ``ratio`` of the host's pages, and on ``least_pages``.
+
+    With ``copies_once``, a host's pages of the same lines count as one page.
+    """
+    keys = F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), _key))
+    pages = docs.select(F.col(host_col).alias("host"), keys.alias("keys")).where("host is not null")
+    if copies_once:
+        pages = pages.select("host", F.array_sort("keys").alias("keys")).distinct()
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("line")).where("line is not null")
+    lines = pages.select("host", F.explode("keys").alias("line")).where("line is not null")
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
     often = counts.join(totals, "host").where(F.col("on") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_hashes: int = BROADCAST_HASHES, copies_once: bool = False) -> DataFrame:
     """``row`` (a document's row as it was, whatever its columns), ``text`` without boilerplate lines, ``n_lines``, ``n_dropped``.
 
     Blank lines and pages without a host stay as they are; a null text stays
     null with 0 lines; a page of boilerplate alone becomes an empty text.
-    Repeated rows count as pages of their own.
+    Repeated rows count as pages of their own, unless ``copies_once``: then a
+    page's copies on its host can't make its lines boilerplate.
     """
-    bad = cut(boilerplate_lines(docs, host_col=host_col, text_col=text_col, ratio=ratio, least_pages=least_pages))
+    bad = cut(boilerplate_lines(docs, host_col=host_col, text_col=text_col, ratio=ratio, least_pages=least_pages, copies_once=copies_once))
     size = bad.agg(F.sum(F.size("bad"))).first()[0] or 0
     rows = docs.select(F.struct("*").alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     if size <= broadcast_hashes:

@@ -86,3 +86,16 @@ def test_run_matches_brute_force(spark, sf_dir):
     got = corpus_pipeline.run(spark, path).collect()
     assert sorted(((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got), key=str) == sorted(pieces, key=str)
     assert {r[0] for r in want} >= {0, 1, 2} and not {3, 23, 203, 300, 400, 401, 402} & {r[0] for r in want}
+
+
+def test_one_document_of_a_large_copy_group_keeps_its_text(spark, sf_dir):
+    """Ten copies on a host of 100 pages are more than the ratio; so is the menu, which goes."""
+    page = "\n".join(f"line {j} of the copied page has words of its own {j * 7}" for j in range(6))
+    rows = [(i, f"menu of the site\nown words {i} of page {i * 3} and {i * 5} more", "en", "s", 0) for i in range(90)]
+    rows += [(200 + i, "menu of the site\n" + page + (" " if i % 2 else ""), "en", "s", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cleaned = corpus_pipeline.drop_site_lines(spark, docs, sf_dir[0]).localCheckpoint()
+    assert {r.text.strip() for r in cleaned.where("doc_id >= 200").collect()} == {page}
+    assert not cleaned.where("text like '%menu%'").count()
+    kept = corpus_pipeline.drop_near_copies(spark, cleaned, sf_dir[0]).where("doc_id >= 200").collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(200, page)]
