@@ -71,9 +71,6 @@ RULES = (
 )
 #: Each known sentence has one of these, so texts without any need no further look.
 HINT = "(?i)(licen|permission|warrant|redistribut|general public|rights reserved|used to endorse|free software)"
-#: Sentences end at a line's end, or at a stop, colon or semicolon before white space.
-SENTENCE_END = r"(?<=[.!?:;])[\s]+|\n"
-WRAPPED_END = r"(?<=[.!?])[\s]+"
 
 
 def normal(text: str) -> str:
@@ -86,6 +83,26 @@ if len(KNOWN) != len(SENTENCES):
     raise ValueError("two known sentences are the same when normalised")
 
 
+def _openings() -> str:
+    """Each known sentence's first words, four or as many as no other known sentence has inside it."""
+    out = set()
+    for s in KNOWN:
+        words = s.split()
+        n = min(4, len(words))
+        while n < len(words) and any(" " + " ".join(words[:n]) + " " in f" {other} "[1:] for other in KNOWN):
+            n += 1
+        out.add("[^a-z0-9]+".join(words[:n]))
+    return "|".join(sorted(out))
+
+
+#: Stops inside known sentences: ``v. 2.0``, ``License-Identifier: MIT``, ``"License"); you``, ``software: you``, ``Foundation; either``.
+INSIDE = r"(?!(?<=[^a-z0-9]v[.])\s+[0-9])(?<!identifier:)(?!(?<=[:;])\s+(?:you (?:may not use|can redistribute)|either version))"
+#: Sentences end at a line's end, or at a stop, colon or semicolon before white space.
+SENTENCE_END = rf"(?i)(?<=[.!?:;]){INSIDE}\s+|\n"
+#: Wrapped ones go over line ends.  They end at a stop, at the colon before conditions, at an empty line, and where a line opens with a known sentence.
+WRAPPED_END = rf"(?i)(?<=[.!?]){INSIDE}\s+|(?<=conditions:)\s+|(?<=are met:)\s+|(?<! at)(?<! at\r)\n[ \t\r*#/;%-]*\n|\n[^a-z0-9\n]*(?=(?:{_openings()})[^a-z0-9])"
+
+
 def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 

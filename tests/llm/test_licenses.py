@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from palimpsest.llm import licenses
 from palimpsest.llm.licenses import HINT, KNOWN, RULES, SENTENCES, normal, recognise
@@ -48,3 +49,50 @@ def test_texts_match_brute_force(spark):
     want = sorted(((r[0], *brute(r[1])) for r in rows), key=str)
     assert sorted(((r.doc_id, r.sentences, r.licenses) for r in recognise(docs).collect()), key=str) == want
     assert recognise(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_rule_fires_on_its_own_text(spark):
+    """Plain, line by line, wrapped at 70 columns, as a comment, and after a line without a stop."""
+    rows, want = [], {}
+    for name, rule in RULES:
+        sentences = [SENTENCES[k] for k in rule.split()]
+        lines = "\n".join(sentences)
+        wrapped = "\n\n".join(textwrap.fill(s, 70) for s in sentences)
+        tight = "\n".join(textwrap.fill(s, 70) for s in sentences)
+        head = "Copyright (c) 2020 Foo Bar\n"
+        comment = "\n".join(f" * {x}" for x in wrapped.split("\n"))
+        for text in (lines, wrapped, tight, comment, head + lines, head + wrapped, head + tight, head + "\n" + tight, " * " + head + comment, tight + "\n\nint main() { }", lines + "\nint main() { }"):
+            want[len(rows)] = name, text
+            rows.append((len(rows), text, None, None, None))
+        if all(s.endswith((".", ":")) for s in sentences):
+            want[len(rows)] = name, " ".join(sentences)
+            rows.append((len(rows), " ".join(sentences), None, None, None))
+    found = {r.doc_id: r.licenses for r in recognise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(n, t) for i, (n, t) in want.items() if found[i] != [n]] == []
+
+
+def test_usual_headers_are_found(spark):
+    apache = """Copyright 2020 Foo
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    parts = ("BSDRedist", "BSDSource", "BSDBinary", "BSDNames", "BSDAsIs")
+    red, *conditions, as_is = (textwrap.fill(SENTENCES[k], 70) for k in parts)
+    bsd = "Copyright (c) 2020, Foo\nAll rights reserved.\n\n" + red + "\n\n" + "\n".join(f"{i}. {c}" for i, c in enumerate(conditions, 1)) + "\n\n" + as_is
+    rows = [(i, t, None, None, None) for i, t in enumerate([apache, mpl, bsd])]
+    found = {r.doc_id: (r.sentences, r.licenses) for r in recognise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[0] == (["ApacheLicLong", "ApacheCopy", "ApacheAsIs", "ApacheSee"], ["Apache-2.0"])
+    assert found[1] == (["MPLSubject"], ["MPL-2.0"])
+    assert found[2] == (["AllRights", *parts], ["BSD-3-Clause", "LicenseRef-AllRightsReserved"])
