@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import terms as T
@@ -83,6 +83,18 @@ G1 = "(SELECT DISTINCT o_custkey % 400 AS x, o_orderkey % 401 AS y FROM orders)"
 G2 = "(SELECT DISTINCT o_custkey % 300 AS x, o_orderkey % 300 AS y FROM orders WHERE o_orderkey % 37 = 0 AND o_orderkey <= 9000)"
 
 
+def order_chains(spark, sf_dir, ring: bool = False) -> DataFrame:
+    """Each order of the table and its customer's next one; in a ring the last leads to the first.  Closures grow with the table."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    after = F.lead("o_orderkey").over(own)
+    after = F.coalesce(after, F.first("o_orderkey").over(own)) if ring else after
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x"), after.alias("y")).where("y is not null")
+
+
+G3 = "(SELECT x, y FROM (SELECT o_orderkey AS x, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS y FROM orders) WHERE y IS NOT NULL)"
+G4 = "(SELECT o_orderkey AS x, coalesce(lead(o_orderkey) OVER w, first_value(o_orderkey) OVER w) AS y FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"
+
+
 # scans -------------------------------------------------------------------------------------------------------------
 
 
@@ -175,6 +187,29 @@ def bgp_4cycle(spark, sf_dir):
     return Graph(edges(sparse_table(spark, sf_dir)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w)).df.agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT x FROM {G4} WHERE x = y")
+def bgp_repeated_var_all(spark, sf_dir):
+    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((x, E, x)).df.select(_vertex("x"))
+
+
+TRIANGLES_ALL = f"WITH e AS (SELECT * FROM {G4}) SELECT count(*) AS n FROM e a JOIN e b ON a.y = b.x JOIN e c ON b.y = c.x AND c.y = a.x"
+
+
+@query(TRIANGLES_ALL)
+def bgp_triangle_all(spark, sf_dir):
+    return P.triangles(order_chains(spark, sf_dir, ring=True)).agg(F.count("*").alias("n"))
+
+
+@query(TRIANGLES_ALL)
+def bgp_triangle_joins_all(spark, sf_dir):
+    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((x, E, y), (y, E, z), (z, E, x)).df.agg(F.count("*").alias("n"))
+
+
+@query(f"WITH e AS (SELECT * FROM {G4}) SELECT count(*) AS n FROM e a JOIN e b ON a.y = b.x JOIN e c ON b.y = c.x JOIN e d ON c.y = d.x AND d.y = a.x")
+def bgp_4cycle_all(spark, sf_dir):
+    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w)).df.agg(F.count("*").alias("n"))
+
+
 Q5 = ("lineitem.l_orderkey", "lineitem.l_suppkey", "lineitem.l_extendedprice", "lineitem.l_discount", "orders.o_custkey", "customer.c_nationkey", "supplier.s_nationkey", "nation.n_name")
 
 
@@ -570,6 +605,43 @@ def path_zero_graph(spark, sf_dir):
     return P.match(Graph(q, merge=False), x, P.Star(STEP), y, graph=g).df.select(_vertex("g"), _vertex("x"), _vertex("y"))
 
 
+def _chains(spark, sf_dir) -> Graph:
+    return Graph(edges(order_chains(spark, sf_dir)), merge=False)
+
+
+CLOSURE_ALL = f"WITH RECURSIVE e AS (SELECT * FROM {G3}), t AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x)"
+NODES_ALL = f"(SELECT x AS v FROM {G3} UNION SELECT y FROM {G3})"
+
+
+@query(f"SELECT x, y FROM {G3} UNION SELECT v, v FROM {NODES_ALL}")
+def path_opt_all(spark, sf_dir):
+    return P.match(_chains(spark, sf_dir), x, P.Optional_(STEP), y).df.select(_vertex("x"), _vertex("y"))
+
+
+@query(f"{CLOSURE_ALL} SELECT x, y FROM t")
+def path_plus_all(spark, sf_dir):
+    return P.match(_chains(spark, sf_dir), x, P.Plus(STEP), y).df.select(_vertex("x"), _vertex("y"))
+
+
+@query(f"{CLOSURE_ALL} SELECT x, y FROM t UNION SELECT v, v FROM {NODES_ALL}")
+def path_star_all(spark, sf_dir):
+    return P.match(_chains(spark, sf_dir), x, P.Star(STEP), y).df.select(_vertex("x"), _vertex("y"))
+
+
+@query(f"{CLOSURE_ALL} SELECT DISTINCT y FROM (SELECT y FROM t WHERE x = 7 UNION SELECT 7)")
+def path_star_from_constant_all(spark, sf_dir):
+    return P.match(_chains(spark, sf_dir), subject_const("v", 7), P.Star(STEP), y).df.select(_vertex("y"))
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT x, y, (x % 2)::BIGINT AS g FROM {G3}), t AS (SELECT g, x, y FROM e UNION SELECT t.g, t.x, e.y FROM t JOIN e ON t.y = e.x AND t.g = e.g), "
+    "n AS (SELECT g, x AS v FROM e UNION SELECT g, y FROM e) SELECT g, x, y FROM t UNION SELECT g, v, v FROM n"
+)
+def path_zero_graph_all(spark, sf_dir):
+    q = edges(order_chains(spark, sf_dir)).withColumn("g", T.iri(F.concat(F.lit("urn:g/"), (_vertex("s") % 2).cast("string"))).column())
+    return P.match(Graph(q, merge=False), x, P.Star(STEP), y, graph=g).df.select(_vertex("g"), _vertex("x"), _vertex("y"))
+
+
 # updates -----------------------------------------------------------------------------------------------------------
 
 

@@ -30,3 +30,12 @@ def test_query(spark, db, name):
     assert sorted(df.columns) == sorted(names)
     want = sorted((tuple(plain(x) for x in r) for r in sql.fetchall()), key=str)
     assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=str) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_whole_table_paths_reach_every_order(spark, db):
+    """Each order of a customer with several, the last one's keys too."""
+    several = "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)"
+    want = {r[0] for r in db.execute(several).fetchall()}
+    for name in ("path_opt_all", "path_star_all", "path_zero_graph_all"):
+        assert {r.x for r in QUERIES[name](spark, DATA).collect()} == want, name
