@@ -320,6 +320,18 @@ def theta_join(spark, sf_dir):
     return m.df.select(key("x").cast("int").alias("a"), key("y").cast("int").alias("b"), whole("n").alias("n"))
 
 
+@query("SELECT c_nationkey AS a, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY 1")
+def theta_join_all(spark, sf_dir):
+    """All customers against their nation's suppliers; sorted and counted, so that no pair is made.  NaN is less than nothing."""
+    q = graph(spark, sf_dir, "customer.c_acctbal", "customer.c_nationkey", "supplier.s_acctbal", "supplier.s_nationkey")
+    one = q.bgp((c, p("customer.c_acctbal"), v), (c, p("customer.c_nationkey"), x)).df.select("x", "v", F.lit(0).alias("more"))
+    two = q.bgp((s, p("supplier.s_acctbal"), v), (s, p("supplier.s_nationkey"), x)).df.select("x", "v", F.lit(1).alias("more"))
+    rows = one.unionByName(two).select(key("x").cast("int").alias("a"), lex("v").cast("double").alias("v"), "more").where("not isnan(v)")
+    # at a tie customers come first, as equal suppliers don't count
+    above = F.sum("more").over(Window.partitionBy("a").orderBy(F.desc("v"), "more").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("above", above).where("more = 0").groupBy("a").agg(F.sum("above").alias("n")).where("n > 0")
+
+
 # graphs ------------------------------------------------------------------------------------------------------------
 
 ASIA, EUROPE = I("urn:g:ASIA"), I("urn:g:EUROPE")

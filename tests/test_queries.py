@@ -39,3 +39,10 @@ def test_whole_table_paths_reach_every_order(spark, db):
     want = {r[0] for r in db.execute(several).fetchall()}
     for name in ("path_opt_all", "path_star_all", "path_zero_graph_all"):
         assert {r.x for r in QUERIES[name](spark, DATA).collect()} == want, name
+
+
+def test_theta_join_takes_all_rows_and_no_ties(spark, tmp_path):
+    """Keys that theta_join's filters leave out; equal balances don't count."""
+    spark.createDataFrame([(1, 3, 5.0), (2, 3, 7.0), (3, 4, 1.0), (4, 3, float("nan"))], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(2, 3, 7.0), (3, 3, 9.0), (4, 4, 0.5), (5, 3, float("nan"))], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in QUERIES["theta_join_all"](spark, str(tmp_path)).collect()] == [(3, 3)]
