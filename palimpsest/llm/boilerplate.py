@@ -30,12 +30,13 @@ def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: st
 
     With ``copies_once``, a host's pages of the same lines count as one page.
     """
-    keys = F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), _key))
-    pages = docs.select(F.col(host_col).alias("host"), keys.alias("keys")).where("host is not null")
+    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).where("host is not null")
+    keys = F.array_distinct(F.transform(F.split("text", "\n", -1), _key))
     if copies_once:
-        pages = pages.select("host", F.array_sort("keys").alias("keys")).distinct()
+        pages = pages.select("host", F.array_sort(keys).alias("keys")).distinct()
+        keys = F.col("keys")
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = pages.select("host", F.explode("keys").alias("line")).where("line is not null")
+    lines = pages.select("host", F.explode(keys).alias("line")).where("line is not null")
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
     often = counts.join(totals, "host").where(F.col("on") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("bad"))
