@@ -5,6 +5,7 @@ indexed by block hash, tells how far a search may move on: no window ends
 there otherwise.  At shift 0, windows whose last block has that hash (their
 suffix bucket) are compared word by word.  All texts of a slice are searched in
 step, long ones in overlapping stretches, so each step is a few numpy calls.
+What agrees by the words' keys is confirmed by comparing the words' bytes.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from .shared import cut
 
 #: Words of a benchmark window.
 WINDOW = 10
-#: Windows that a pass broadcasts (about 100 bytes each); more are searched in several passes.
-PASS_WINDOWS = 400_000
+#: Windows of items that a pass broadcasts (about 100 bytes and their text each), and bytes of their texts; more are searched in several passes.
+PASS_WINDOWS, PASS_BYTES = 400_000, 64_000_000
 #: Entries of a shift table, as a power of two.
 TABLE_BITS = 20
-#: Words of a stretch of a long text.
-STRETCH = 2048
+#: Words of a stretch of a long text; bytes that are compared at once.
+STRETCH, COMPARED = 2048, 4_000_000
 
 
 class Windows(NamedTuple):
@@ -35,6 +36,8 @@ class Windows(NamedTuple):
     words: np.ndarray  # windows x length
     suffix: np.ndarray  # hash of each window's last block
     shift: np.ndarray  # by block hash
+    text: np.ndarray  # bytes of all windows' words, a blank after each
+    text_first: np.ndarray
     item_first: np.ndarray
     items: list
 
@@ -43,25 +46,55 @@ def _blocks(keys: np.ndarray, size: int) -> np.ndarray:
     return (W.gram_keys(keys, size) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def build(words: np.ndarray, items: list) -> Windows:
-    """Tables for windows (rows of word keys) of the given items."""
-    rows, inverse = np.unique(words, axis=0, return_inverse=True)
-    m = words.shape[1]
+def build(words: list[np.ndarray], texts: list[bytes], items: list) -> Windows:
+    """Tables for windows of one length: their words' keys, the words with a blank after each, their items."""
+    of_text: dict[bytes, int] = {}
+    row = [of_text.setdefault(t, len(of_text)) for t in texts]
+    rows = np.zeros((len(of_text), len(words[0])), np.uint64)
+    for r, keys in zip(row, words):
+        rows[r] = keys
+    m = rows.shape[1]
     block = min(2, m)
     shift = np.full(1 << TABLE_BITS, m - block + 1, np.uint8)
     hashes = np.stack([_blocks(r, block) for r in rows])
     for end in range(hashes.shape[1]):  # later blocks of a window have smaller shifts
         np.minimum.at(shift, hashes[:, end], hashes.shape[1] - 1 - end)
-    by_row = sorted({(int(r), i) for r, i in zip(inverse.ravel(), items)})
     order = np.argsort(hashes[:, -1], kind="stable")
     place = np.argsort(order)
-    by_row = sorted((int(place[r]), i) for r, i in by_row)
+    by_row = sorted({(int(place[r]), i) for r, i in zip(row, items)})
     first = np.searchsorted([r for r, _ in by_row], np.arange(len(rows) + 1))
-    return Windows(rows[order], hashes[order, -1], shift, first, [i for _, i in by_row])
+    ordered = [t for _, t in sorted((int(place[r]), t) for t, r in of_text.items())]
+    text_first = np.concatenate([[0], np.cumsum([len(t) for t in ordered])])
+    return Windows(rows[order], hashes[order, -1], shift, np.frombuffer(b"".join(ordered), np.uint8), text_first, first, [i for _, i in by_row])
 
 
-def search(tables: Windows, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of occurrences in ``keys`` and their windows; ``first`` bounds the texts."""
+def _confirmed(tables: Windows, w: W.Words, start: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Whether the words from each start on are the window's, byte for byte."""
+    m = tables.words.shape[1]
+    at = start[:, None] + np.arange(m)
+    sizes = w.end[at] - w.start[at] + 1
+    want = tables.text_first[window + 1] - tables.text_first[window]
+    out = sizes.sum(1) == want
+    use = np.flatnonzero(out)
+    total = np.cumsum(want[use])
+    while len(use):
+        n = max(1, int(np.searchsorted(total, (total[0] - want[use[0]]) + COMPARED, "right")))
+        part, use, total = use[:n], use[n:], total[n:]
+        size = sizes[part].ravel()
+        ends = np.cumsum(size)
+        inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        own = w.raw[np.minimum(np.repeat(w.start[at[part]].ravel(), size) + inner, len(w.raw) - 1)]
+        own[ends - 1] = 0x20
+        length = want[part]
+        stops = np.cumsum(length)
+        theirs = tables.text[np.arange(stops[-1]) - np.repeat(stops - length - tables.text_first[window[part]], length)]
+        out[part] = np.add.reduceat((own != theirs).astype(np.int64), stops - length) == 0
+    return out
+
+
+def search(tables: Windows, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of occurrences among the words of a slice, and their windows."""
+    keys, first = w.key, w.first
     m = tables.words.shape[1]
     block = min(2, m)
     if len(keys) < m:
@@ -90,6 +123,8 @@ def search(tables: Windows, keys: np.ndarray, first: np.ndarray) -> tuple[np.nda
             for i in range(m):
                 live = np.flatnonzero(same)
                 same[live] = keys[start[live] + i] == tables.words[window[live], i]
+            start, window = start[same], window[same]
+            same = _confirmed(tables, w, start, window)
             found_at.append(start[same])
             found.append(window[same])
             step[zero] = 1
@@ -102,7 +137,7 @@ def search(tables: Windows, keys: np.ndarray, first: np.ndarray) -> tuple[np.nda
 
 
 def _windows_map(window: int):
-    schema = pa.schema([("item", pa.int64()), ("words", pa.binary())])
+    schema = pa.schema([("item", pa.int64()), ("words", pa.binary()), ("body", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -114,7 +149,8 @@ def _windows_map(window: int):
                     own = w.key[w.first[i] : w.first[i + 1]]
                     if len(own):
                         m = min(window, len(own))
-                        out += [(name, own[j : j + m].tobytes()) for j in range(len(own) - m + 1)]
+                        spelt = [w.raw[x:y].tobytes() + b" " for x, y in zip(w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]])]
+                        out += [(name, own[j : j + m].tobytes(), b"".join(spelt[j : j + m])) for j in range(len(own) - m + 1)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -134,7 +170,7 @@ def _search_map(tables, names: list[str]):
                 edge = np.zeros(len(w.key) + 1, np.int64)
                 pairs = set()
                 for t in searchers:
-                    start, window = search(t, w.key, w.first)
+                    start, window = search(t, w)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + t.words.shape[1], -1)
                     doc = w.doc[start] if len(start) else start
@@ -166,31 +202,42 @@ def _search_map(tables, names: list[str]):
     return run
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_windows: int = PASS_WINDOWS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``row`` (a document's row, whatever its columns), ``text``, ``n_words``, ``n_hit``, ``items`` and ``marks``.
 
     ``n_hit`` counts words inside an occurrence, ``marks`` has a bit for each
     word, ``items`` are the sorted ids of items with occurrences.
 
     A null or wordless text has no words and no hits; an item without words or
-    id is left out; repeated items count once.  Rows are not shuffled.  The benchmark's windows are counted first: up to
-    ``pass_windows`` go out in one broadcast, more in as many passes as needed.
+    id is left out; repeated items count once; item ids are integers.  Rows are
+    not shuffled.  The benchmark's windows are measured first: up to
+    ``pass_windows`` windows of items and ``pass_bytes`` bytes of their texts go
+    out in one broadcast, more in as many passes as needed.  A window that very
+    many items share is dealt over passes like any others, as marks and items
+    add up.
     """
     spark = docs.sparkSession
     windows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    windows = cut(windows.mapInArrow(_windows_map(window), "item long, words binary").distinct())
-    n = windows.count()
-    passes = max(1, -(-n // pass_windows))
+    windows = cut(windows.mapInArrow(_windows_map(window), "item long, words binary, body binary").distinct())
+    size = F.sum(F.length("body"))
+    n, total = windows.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    passes, own = max(1, -(-n // pass_windows), -(-total // pass_bytes)), F.lit(0)
+    while passes > 1:
+        own = F.pmod(F.xxhash64("item", "body"), F.lit(passes))
+        most, most_bytes = windows.groupBy(own).agg(F.count("*").alias("n"), size.alias("b")).agg(F.max("n"), F.max("b")).first()
+        if most <= 1.25 * pass_windows and most_bytes <= 1.25 * pass_bytes or passes >= n:
+            break
+        passes *= 2
     zero = F.lit(0).cast("long")
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), zero.alias("n_words"), zero.alias("n_hit"), F.lit(None).cast("binary").alias("marks"), F.array().cast("array<bigint>").alias("items"))
     for number in range(passes):
-        part = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
-        by_size: dict[int, tuple[list, list]] = {}
-        for item, words in part.toLocalIterator():
-            keys, names = by_size.setdefault(len(words) // 8, ([], []))
+        by_size: dict[int, tuple[list, list, list]] = {}
+        for item, words, body in windows.where(own == number).toLocalIterator():
+            keys, texts, names = by_size.setdefault(len(words) // 8, ([], [], []))
             keys.append(np.frombuffer(words, np.uint64))
+            texts.append(bytes(body))
             names.append(item)
-        tables = spark.sparkContext.broadcast([build(np.stack(keys), names) for keys, names in by_size.values()])
+        tables = spark.sparkContext.broadcast([build(*x) for x in by_size.values()])
         rows = rows.mapInArrow(_search_map(tables, ["text", "marks", "items"]), rows.schema)
         if passes > 1:
             rows = cut(rows)

@@ -14,6 +14,8 @@ blocks of a slice at once.
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 
-#: Bounds of the labelled sample that a model is fitted on: documents of a language, characters of a document, languages.
+#: Bounds of the labelled sample that a model is fitted on: documents of a language, characters of a document, most frequent languages.
 TRAIN_DOCS, TRAIN_CHARS, MOST_LANGS = 240, 4000, 64
 #: Hashed n-gram features; lengths in characters, an end of the word counting as one.
 FEATURES, GRAMS = 1 << 16, (2, 3, 4)
@@ -31,6 +33,8 @@ FEATURES, GRAMS = 1 << 16, (2, 3, 4)
 RUN, BLOCK, STEPS, PENALTY = 40, 64, 45, 2e-5
 #: Documents that a lexicon word is in at least; shares of its most frequent language that part its levels.
 LEXICON_DOCS, LEVELS = 3, (0.6, 0.9)
+#: Share of a word's n-grams that were in training, from which the word is like the learned ones.
+KNOWN_GRAMS = 0.75
 #: Distinct words whose scores a Python worker remembers; beyond, it starts afresh.
 REMEMBER = 1_500_000
 
@@ -39,7 +43,7 @@ _SEPARATORS[0x61:0x7B] = _SEPARATORS[0x80:] = False
 
 
 class Model(NamedTuple):
-    uid: int
+    uid: str  # hash of all that follows
     langs: list[str]
     weights: np.ndarray  # features and lexicon classes x languages
     trans: np.ndarray
@@ -47,6 +51,13 @@ class Model(NamedTuple):
     classes: np.ndarray  # of the lexicon's words
 
 
+def _model(langs: list[str], *arrays: np.ndarray) -> Model:
+    digest = hashlib.sha256(repr(langs).encode())
+    for x in arrays:
+        digest.update(repr((x.shape, x.dtype)).encode() + np.ascontiguousarray(x).tobytes())
+    return Model(digest.hexdigest(), langs, *arrays)
+
+
 def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words' numbers and hashed n-grams, and whether each word has a letter."""
     size = end - start + 1
@@ -83,39 +94,45 @@ def _sum_rows(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Scores:
-    """Scores of distinct words by key, remembered over a worker's tasks."""
+    """Scores of distinct words by their number in ``memory``, kept over a worker's tasks."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.memory = model, W.Memory(REMEMBER)
+        self.seen = (model.weights[:FEATURES] != 0).any(1)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.table = np.zeros(0, np.uint64), np.zeros((0, len(self.model.langs) + 1), np.float32)
+        self.table = np.zeros((0, len(self.model.langs) + 2), np.float32)
 
     def of(self, w: W.Words) -> np.ndarray:
-        """Each word's scores and, in the last column, whether it has a letter."""
-        distinct, first, inverse = np.unique(w.key, return_index=True, return_inverse=True)
-        known = self._known(distinct)
-        if not known.all():
-            if len(self.keys) + (~known).sum() > REMEMBER:
-                self.clear()
-                known[:] = False
-            new, at = distinct[~known], first[~known]
-            keys = np.concatenate([self.keys, new])
-            table = np.concatenate([self.table, self._score(w.raw, w.start[at], w.end[at], new)])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.table = keys[order], table[order]
-        return self.table[np.searchsorted(self.keys, distinct)[inverse]]
-
-    def _known(self, distinct: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        return self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        """Each word's scores; in the last columns whether it is like the learned words, and has a letter."""
+        at, new, afresh = self.memory.places(w.raw, w.start, w.end)
+        if afresh:
+            self.clear()
+        if len(new):
+            self.table = np.concatenate([self.table, self._score(w.raw, w.start[new], w.end[new], w.key[new])])
+        return self.table[at]
 
     def _score(self, raw, start, end, keys) -> np.ndarray:
         word, gram, letter = _features(raw, start, end)
         out = _sum_rows(word, self.model.weights[gram], len(start))
         out += _lexicon_rows(self.model.weights, self.model.lexicon, self.model.classes, keys)
-        return np.concatenate([out, letter[:, None]], 1).astype(np.float32)
+        met, total = np.bincount(word, self.seen[gram], len(start)), np.bincount(word, minlength=len(start))
+        like = (met >= KNOWN_GRAMS * total) | np.isin(keys, self.model.lexicon)
+        return np.concatenate([out, like[:, None], letter[:, None]], 1).astype(np.float32)
+
+
+@lru_cache(1)
+def _remembered(uid: str) -> list[_Scores]:
+    """The place of one model's scores in this Python worker; another model's takes it over."""
+    return []
+
+
+def _scores(model: Model) -> _Scores:
+    place = _remembered(model.uid)
+    if not place:
+        place.append(_Scores(model))
+    return place[0]
 
 
 def _lexicon_rows(weights, lexicon, classes, keys) -> np.ndarray:
@@ -188,13 +205,13 @@ def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.nd
 
 
 def fit(texts: list[str], langs: list[str], *, seed: int = 0, steps: int = STEPS) -> Model:
-    """A model from labelled texts; every other text makes the lexicon, the others the runs."""
+    """A model from labelled texts; a random half of them makes the lexicon, the others the runs."""
     names = sorted(set(langs))
     k = len(names)
     rng = np.random.default_rng(seed)
     label = np.array([names.index(x) for x in langs], np.int64)
     w = W.words(pa.array(texts, pa.large_string()), _SEPARATORS, lower=True)
-    lexicon_text = np.arange(len(texts)) % 2 == 0 if len(texts) > 2 * k else np.ones(len(texts), bool)
+    lexicon_text = rng.permutation(len(texts)) % 2 == 0 if len(texts) > 2 * k else np.ones(len(texts), bool)
     # lexicon: words of several documents, by language share
     pairs = np.unique(np.stack([w.key[lexicon_text[w.doc]], w.doc[lexicon_text[w.doc]].astype(np.uint64)], 1), axis=0)
     keys, inverse = np.unique(pairs[:, 0], return_inverse=True)
@@ -224,7 +241,7 @@ def fit(texts: list[str], langs: list[str], *, seed: int = 0, steps: int = STEPS
     trans = np.zeros((k, k))
     weights = np.zeros((FEATURES + k * (len(LEVELS) + 1), k))
     if not runs or k == 0:
-        return Model(int(rng.integers(2**62)), names, weights.astype(np.float32), trans, lexicon, classes)
+        return _model(names, weights.astype(np.float32), trans, lexicon, classes)
     tokens = np.concatenate(runs)
     distinct, at, inverse = np.unique(w.key[tokens], return_index=True, return_inverse=True)
     word, gram, _ = _features(w.raw, w.start[tokens[at]], w.end[tokens[at]])
@@ -253,7 +270,7 @@ def fit(texts: list[str], langs: list[str], *, seed: int = 0, steps: int = STEPS
             v *= 0.99
             v += 0.01 * grad * grad
             value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(int(rng.integers(2**62)), names, weights.astype(np.float32), trans, lexicon, classes)
+    return _model(names, weights.astype(np.float32), trans, lexicon, classes)
 
 
 def _pair_sums(scores, gone, first, trans) -> np.ndarray:
@@ -279,17 +296,12 @@ def _pair_sums(scores, gone, first, trans) -> np.ndarray:
     return total
 
 
-_WORKER: dict[int, _Scores] = {}
-
-
 def _predict_map(model, columns: list[str]):
-    """Adds lang_pred, score, n_words and n_switches after the given columns; text is the last of these."""
+    """Adds lang_pred, score, n_words, n_switches and n_like after the given columns; text is the last of these."""
 
     def run(batches):
         fitted: Model = model.value
-        if fitted.uid not in _WORKER:
-            _WORKER.clear()
-            _WORKER[fitted.uid] = _Scores(fitted)
+        scores = _scores(fitted)
         names = np.array([*fitted.langs, "und"], object)
         k = len(fitted.langs)
         for batch in batches:
@@ -297,8 +309,8 @@ def _predict_map(model, columns: list[str]):
             for a, b in W.slices(text):
                 w = W.words(text.slice(a, b - a), _SEPARATORS, lower=True)
                 n = b - a
-                found = _WORKER[fitted.uid].of(w)
-                letter = found[:, k] > 0
+                found = scores.of(w)
+                letter = found[:, k + 1] > 0
                 # words without a letter take no part in a chain
                 key = np.flatnonzero(letter)
                 doc = w.doc[key]
@@ -313,11 +325,12 @@ def _predict_map(model, columns: list[str]):
                     switches = np.bincount(doc[change + 1], minlength=n)
                 else:
                     best, score, switches = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+                like = np.bincount(doc, found[key, k], n).astype(np.int64)
                 none = (count == 0) | (k == 0)
                 best[none], score[none] = k, 0.0
                 part = batch.slice(a, n)
-                new = [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(count.astype(np.int64)), pa.array(switches.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*columns, "lang_pred", "score", "n_words", "n_switches"])
+                new = [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), *(pa.array(x.astype(np.int64)) for x in (count, switches, like))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*columns, "lang_pred", "score", "n_words", "n_switches", "n_like"])
 
     return run
 
@@ -325,35 +338,39 @@ def _predict_map(model, columns: list[str]):
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable=None) -> Model:
     """A model from a bounded sample of the labelled rows of ``docs`` for which ``usable`` holds.
 
-    Of each language about ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS``
-    characters are taken whole, by a hash of id and text, so all rows may be taken.
-    Rows with a null id, text or language are left out.
+    Of each of the ``MOST_LANGS`` most frequent languages about ``TRAIN_DOCS``
+    documents are taken, by a hash of id and text; of a text longer than
+    ``TRAIN_CHARS``, so many characters from a place that the hash tells.  So
+    all rows and places may be taken, and equal tables give equal models.  Rows
+    with a null id, text or language are left out.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and text is not null")
-    labelled = labelled.where(F.length("text") <= TRAIN_CHARS)
     if usable is not None:
         labelled = labelled.where(usable(F.col("id")))
-    counts = labelled.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, TRAIN_DOCS / r["count"]))).otherwise(rate)
-    draw = (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)) < rate
+    hashed = F.xxhash64("id", "text")
+    drawn = labelled.where((F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)) < rate)
+    place = F.pmod(F.xxhash64(hashed), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1) + 1
     most = 2 * TRAIN_DOCS * max(1, len(counts))
-    sample = sorted((r.lang, r.id, r.text) for r in labelled.where(draw).limit(most).collect())
+    spans = drawn.select("lang", "id", hashed.alias("h"), F.substring("text", place.cast("int"), F.lit(TRAIN_CHARS)).alias("text")).orderBy("h", "lang", "id").limit(most)
+    sample = sorted((r.lang, r.id, r.text) for r in spans.collect())
     return fit([x[2] for x in sample], [x[0] for x in sample])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, the ``extra`` columns, text, lang_pred, score, n_words, n_switches.
+    """Per row: doc_id, the ``extra`` columns, text, lang_pred, score, n_words, n_switches, n_like.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is
     null or has no letter; ``score`` is the mean marginal of that language over
     the text's words; ``n_switches`` counts neighbouring words of different
-    languages.  Rows are independent: repeated rows have equal results.
+    languages; ``n_like`` counts words that are in the lexicon or have mostly n-grams
+    that the model has learned.  Of languages with equal means the first by name is
+    taken.  Rows are independent: repeated rows have equal results.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("doc_id"), *(extra or []), F.col(text_col).alias("text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", lang_pred string, score double, n_words long, n_switches long"
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", lang_pred string, score double, n_words long, n_switches long, n_like long"
     return given.mapInArrow(_predict_map(spark.sparkContext.broadcast(model), given.columns), kind)

@@ -24,6 +24,8 @@ GROUP_ROWS = 40_000
 LEAST_GROUPS = 48
 #: Most rounds of exchange between groups whose bound leaves a gap.
 ROUNDS = 6
+#: Bits of a sequence's number inside its group.
+BIN_BITS = 20
 #: Token ids that a task holds while it writes matrices.
 GROUP_TOKENS = 6_000_000
 #: Rounded sizes k of the dual feasible functions u(k).
@@ -88,9 +90,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Fewest bins by dual feasible functions: sizes, thresholds (L2) and rounding u(k)."""
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same of how many items each length from 0 to the capacity has."""
+    if not count[1:].any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     total, items = np.concatenate([[0], np.cumsum(count * size)]), np.concatenate([[0], np.cumsum(count)])
     best = -(-int(total[-1]) // capacity)
@@ -115,9 +121,9 @@ def cut_pieces(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
         yield piece, start, min(capacity, n - start)
 
 
-def _pieces_map(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces_map(path: str, capacity: int, end_id: int, ids_as: str | None):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int64())]
-    schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
+    schema = pa.schema(fields + ([("ids", pa.binary())] if ids_as else []))
 
     def run(batches):
         seen = 0
@@ -130,7 +136,7 @@ def _pieces_map(path: str, capacity: int, end_id: int, with_ids: bool):
                     ids = np.append(little[offsets[i] : offsets[i + 1]], np.array([end_id], "<u4"))
                     for piece, start, length in cut_pieces(len(ids), capacity):
                         raw = ids[start : start + length].tobytes()
-                        kept = (ids[start : start + length].astype("<u2").tobytes(),) if with_ids else ()
+                        kept = (ids[start : start + length].astype(ids_as).tobytes(),) if ids_as else ()
                         out.append((names[a + i], piece, start, length, zlib.crc32(raw), seen) + kept)
                         seen += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -138,17 +144,17 @@ def _pieces_map(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_as: str | None = None) -> DataFrame:
     """One row for each piece of a document's ids followed by ``end_id``; a null text counts as empty.
 
-    ``salt`` numbers the pieces of a map task, so that repeated or null ids spread too.
+    Document ids are integers.  With ``ids_as``, a number format, the ids go along.  ``salt`` numbers the pieces of a map task, so that repeated or null ids spread too.
     """
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces_map(tokenizer_path, capacity, end_id, with_ids), kind)
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + (", ids binary" if ids_as else "")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces_map(tokenizer_path, capacity, end_id, ids_as), kind)
 
 
 _CARRIED = ("doc_id", "piece", "start", "length", "ids_crc32", "salt")
-_PLAN = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, settled boolean, bound long, bins long"
+_PLAN = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, settled boolean, group_bins long, group_bound long"
 
 
 def _pack_group(capacity: int, last: bool, number: int):
@@ -162,32 +168,37 @@ def _pack_group(capacity: int, last: bool, number: int):
         if not last and len(left) == bound:
             stays[left.argmax()] = left.max() == 0
         settled = stays[bin_of]
-        sequence = (number << 56) + (key[0].as_py() << 20) + bin_of
+        sequence = (number << 56) + (key[0].as_py() << BIN_BITS) + bin_of
         out = {c: t.column(c) for c in _CARRIED}
         n = len(lengths)
-        return pa.table(out | {"sequence_id": pa.array(sequence), "offset": pa.array(offset), "settled": pa.array(settled), "bound": pa.array(np.full(n, bound)), "bins": pa.array(np.full(n, len(left)))})
+        return pa.table(out | {"sequence_id": pa.array(sequence), "offset": pa.array(offset), "settled": pa.array(settled), "group_bins": pa.array(np.full(n, len(left))), "group_bound": pa.array(np.full(n, bound))})
 
     return run
 
 
 def pack_certified(pieces: DataFrame, *, capacity: int = 2048, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``, in as few sequences as the rounds reach.
+    """Pieces with ``sequence_id`` and ``offset``, in as few sequences as the rounds reach, and their groups' certificates.
 
     Groups of bounded size are packed by best-fit decreasing, and lower bounds
     certify a group's number of sequences.  A certified group keeps all but its
     emptiest sequence, as groups' bounds are rounded up one by one; a group with
     a gap keeps its full ones.  The other pieces are exchanged: dealt to fewer
     groups and packed anew, until one group holds all that is left or the rounds
-    are over.  Repeated rows are pieces like any other; no rows give no rows.
+    are over.  ``group_bins`` and ``group_bound`` are the sequences of the group that
+    a piece was last packed in and their lower bound; ``certified`` tells whether
+    they agree, so what the rounds leave uncertified is seen in the result, and
+    ``certificate`` holds the whole plan against the bound of all pieces.  Repeated rows are pieces like any other; no rows give no rows.
     """
-    spark, keep = pieces.sparkSession, [*_CARRIED, "sequence_id", "offset"]
+    if not 0 < group_rows < 1 << BIN_BITS:
+        raise ValueError(f"groups have less than {1 << BIN_BITS} pieces")
+    spark, keep = pieces.sparkSession, [*_CARRIED, "sequence_id", "offset", "group_bins", "group_bound", F.expr("group_bins = group_bound").alias("certified")]
     waiting, done = cut(pieces.select(*_CARRIED)), None
     n = waiting.count()
     for number in range(rounds):
         groups = max(1, -(-n // group_rows))
         last = groups == 1 or number == rounds - 1
         spread = F.pmod(F.xxhash64("doc_id", "piece", "salt", F.lit(number)), F.lit(groups)).alias("part")
-        packed = cut(waiting.select(*_CARRIED, spread).groupBy("part").applyInArrow(_pack_group(capacity, last, number), _PLAN))
+        packed = cut(waiting.select(*_CARRIED, spread).repartition(groups, "part").groupBy("part").applyInArrow(_pack_group(capacity, last, number), _PLAN))
         settled = packed.where("settled").select(*keep)
         done = settled if done is None else done.unionByName(settled)
         waiting = packed.where("not settled")
@@ -197,8 +208,21 @@ def pack_certified(pieces: DataFrame, *, capacity: int = 2048, group_rows: int =
     return done if done is not None else spark.createDataFrame([], _PLAN).select(*keep)
 
 
-def _matrix_group(capacity: int, pad_id: int):
-    kind = np.dtype("<u2")
+def certificate(plan: DataFrame, *, capacity: int = 2048) -> DataFrame:
+    """One row: ``sequences`` of a plan, their lower ``bound`` over all its pieces, ``gap``, and ``uncertified`` pieces.
+
+    What comes to the driver is how many pieces each length has: ``capacity`` rows at most.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in plan.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    bound = F.lit(bound_of_counts(counts, capacity)).cast("long")
+    found = plan.agg(F.count_distinct("sequence_id").alias("sequences"), F.count_if(~F.col("certified")).alias("uncertified"))
+    return found.select("sequences", bound.alias("bound"), (F.col("sequences") - bound).alias("gap"), "uncertified")
+
+
+def _matrix_group(capacity: int, pad_id: int, ids_as: str):
+    kind = np.dtype(ids_as)
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("salt", "ascending")])
@@ -231,19 +255,18 @@ def _matrix_group(capacity: int, pad_id: int):
 def pack_matrices(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed sequences of all documents' ids, each a row of the id matrix.
 
-    ``ids`` are ``capacity`` little-endian unsigned 16-bit ids, padded with
-    ``pad_id`` after ``n_tokens``; ``cu_seqlens`` are the cumulative segment
+    ``ids`` are ``capacity`` little-endian unsigned ids of 16 bits (32 if the
+    vocabulary has more than 65,536), padded with ``pad_id`` after ``n_tokens``; ``cu_seqlens`` are the cumulative segment
     lengths from 0; positions start again at ``position_resets``; ``doc_ids``
     and ``starts`` tell where a segment comes from, so that documents can be put
     together again without loss.  A null text is a document of ``end_id`` alone.
     Groups of about ``GROUP_TOKENS`` ids are packed on their own.
     """
     largest = tokens.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1
-    if max(largest, end_id, pad_id) >= 1 << 16:
-        raise ValueError("ids of this vocabulary don't fit 16 bits")
+    ids_as = "<u2" if max(largest, end_id, pad_id) < 1 << 16 else "<u4"
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     groups = max(LEAST_GROUPS, int(chars) // 2 // GROUP_TOKENS)
-    pieces = token_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=True)
+    pieces = token_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, ids_as=ids_as)
     part = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)).alias("part")
     kind = "sequence_id long, n_tokens long, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
-    return pieces.select("doc_id", "piece", "start", "length", "salt", "ids", part).groupBy("part").applyInArrow(_matrix_group(capacity, pad_id), kind)
+    return pieces.select("doc_id", "piece", "start", "length", "salt", "ids", part).repartition(groups, "part").groupBy("part").applyInArrow(_matrix_group(capacity, pad_id, ids_as), kind)

@@ -136,6 +136,28 @@ def _close(stack: list, value: int, right: int, out: list, joined) -> tuple[int,
     return popped
 
 
+def _longest_at(n: int, repeats: np.ndarray) -> np.ndarray:
+    """For each place of the suffix array, the longest of the repeats (length, first, last) whose interval has it; 0: none.
+
+    An interval is two overlapping stretches of 2**k places; stretches hand their
+    lengths down to their halves, so the work is n log n for any nesting.
+    """
+    out = np.zeros(n, np.int64)
+    if not len(repeats):
+        return out
+    length, first, last = repeats.T
+    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    for k in range(int(level.max()), -1, -1):
+        size = 1 << k
+        own = level == k
+        np.maximum.at(out, first[own], length[own])
+        np.maximum.at(out, last[own] - size + 1, length[own])
+        if k:
+            held = np.flatnonzero(out)
+            np.maximum.at(out, held + size // 2, out[held].copy())
+    return out
+
+
 class Figures(NamedTuple):
     n_words: np.ndarray
     word_chars: np.ndarray
@@ -174,12 +196,12 @@ def figures(texts: pa.Array, min_repeat: int) -> Figures:
     next_break = np.append(breaks, len(w.raw))[np.searchsorted(breaks, line_start)]
     line_end = np.minimum(next_break, w.bounds[line_doc + 1])
     worded = np.searchsorted(w.start, line_start) < np.searchsorted(w.start, line_end)
-    line_doc, keys = line_doc[worded], W.span_keys(w.raw, line_start[worded], line_end[worded])
-    order = np.lexsort((keys, line_doc))
-    again = np.append(False, (np.diff(line_doc[order]) == 0) & (keys[order][1:] == keys[order][:-1])) if len(keys) else np.zeros(0, bool)
+    line_doc, (_, line) = line_doc[worded], W.number(*W.span_pairs(w.raw, line_start[worded], line_end[worded]))
+    order = np.lexsort((line, line_doc))
+    again = np.append(False, (np.diff(line_doc[order]) == 0) & (np.diff(line[order]) == 0)) if len(line) else np.zeros(0, bool)
     dup_lines = np.bincount(line_doc[order][again], minlength=n_docs)
     # one sequence: words by their number, then an own symbol after each text
-    _, number = np.unique(w.key, return_inverse=True)
+    _, number = W.number(*W.span_pairs(w.raw, w.start, w.end))
     place = np.arange(n) + w.doc
     symbols_of = np.empty(n + n_docs, np.int64)
     symbols_of[place] = number + n_docs
@@ -192,12 +214,13 @@ def figures(texts: pa.Array, min_repeat: int) -> Figures:
     deepest = np.maximum(lcp, np.append(lcp[1:], 0))[rank][place]  # each word's longest repeat from there on
     three = deepest >= 3
     repeat_words = _covered(n, np.flatnonzero(three), np.full(three.sum(), 3))
-    start = np.flatnonzero(deepest >= min_repeat)
-    covered = _covered(n, start, deepest[start])
+    repeats = np.array(maximal_repeats(symbols_of, sa, lcp, min_repeat), np.int64).reshape(-1, 3)
     longest = np.zeros(n_docs, np.int64)
-    for length, left, _ in maximal_repeats(symbols_of, sa, lcp, min_repeat):
-        doc = inside[sa[left]]
-        longest[doc] = max(longest[doc], length)
+    np.maximum.at(longest, inside[sa[repeats[:, 1]]], repeats[:, 0])
+    # spans that begin at one word lie in the longest of them, so their union needs only that one
+    span = _longest_at(len(sa), repeats)[rank][place]
+    start = np.flatnonzero(span)
+    covered = _covered(n, start, span[start])
     return Figures(np.diff(w.first), word_chars, symbols, dup_lines, _per_text(repeat_words, w.first), _per_text(covered, w.first), longest)
 
 

@@ -8,6 +8,7 @@ go to the tokenizer; ids are gathered by piece.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,49 +34,44 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: What a tokenizer does to texts if its ids are those of their pieces, one after another.
+_NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(2)
+def by_pieces(path: str) -> bool:
+    """Whether a tokenizer drops white space and splits letters from stops, so that texts may be cut there."""
+    kind = json.loads(tokenizer(path).to_str())
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (kind.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x for x in (kind.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    return steps == _NORMALIZERS and len(splits) == 1 and splits[0]["pattern"].get("Regex", "").endswith(_SPLIT) and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+
+
 class Ids:
-    """Ids of pieces by key: ``keys`` ascend, ``start``/``size`` point into ``flat``."""
+    """Ids of pieces by their number in ``memory``: ``start`` and ``size`` point into ``flat``."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.memory = path, W.Memory(REMEMBER)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, raw: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > REMEMBER:
-            self.clear()
+    def learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         whole = raw.tobytes()
-        pieces = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
-        encode = tokenizer(self.path)
-        ids = [e.ids for e in encode.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum()))
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, flat])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.start, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.size = keys[order], at[order], size[order]
+        flat, size = _encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())], self.path)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
     def of(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, and the n + 1 offsets of texts in them."""
         start, end = _pieces(raw, bounds)
-        key = W.span_keys(raw, start, end)
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inner = at < len(self.keys)
-        known[inner] = self.keys[at[inner]] == distinct[inner]
-        if not known.all():
-            if len(self.keys) + (~known).sum() > REMEMBER:
-                self.clear()
-                known[:] = False
-            new = first[~known]
-            self.learn(raw, distinct[~known], start[new], end[new])
-            at = np.searchsorted(self.keys, distinct)
-        at = at[inverse]
+        at, new, afresh = self.memory.places(raw, start, end)
+        if afresh:
+            self.clear()
+        if len(new):
+            self.learn(raw, start[new], end[new])
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -84,6 +80,13 @@ class Ids:
         return flat, before[np.searchsorted(start, bounds)]
 
 
+def _encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts, one after another, and how many each has."""
+    ids = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum())), size
+
+
 def _pieces(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs without white space, cut between an ASCII letter and a stop."""
     start, end = W.cuts(raw, bounds, W.SPACE)
@@ -101,9 +104,16 @@ def remembered(path: str) -> Ids:
 
 
 def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of an Arrow string array: first row, ids, offsets of rows in the ids.  Null counts as empty."""
+    """For slices of an Arrow string array: first row, ids, offsets of rows in the ids.  Null counts as empty.
+
+    A tokenizer that doesn't allow pieces (``by_pieces``) gets whole texts.
+    """
     ids = remembered(path)
     for a, b in W.slices(texts):
+        if not by_pieces(path):
+            flat, size = _encode([x or "" for x in texts.slice(a, b - a).to_pylist()], path)
+            yield a, flat, np.concatenate([[0], np.cumsum(size)])
+            continue
         raw, bounds = W.text_bytes(texts.slice(a, b - a))
         flat, offsets = ids.of(raw, bounds)
         yield a, flat, offsets

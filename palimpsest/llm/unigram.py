@@ -7,6 +7,12 @@ candidate must score strictly more, candidates at one end come by ascending
 start, a character that is no piece of its own counts as unknown at the lowest
 score less 10, and an unknown character is one token for each of its bytes.
 
+The public piece file that the registered query passes holds a BPE vocabulary:
+its scores are merge ranks, not log-probabilities.  The method is applied to
+these scores as given (tokenizers aren't trained here), so the query's counts
+are those of the best-scoring segmentation under that file, not the counts that
+its own BPE encoder would give.  A unigram file gives its tokenizer's counts.
+
 Pieces start at blanks (written as U+2581), and none has a line break or tab
 inside, so both cut a text into parts that are scored on their own.  Distinct
 parts are scored once a task.
@@ -87,34 +93,26 @@ def _counter(path: str) -> Counter:
 
 
 class _Parts:
-    """Counts and scores of parts by key, remembered over a worker's tasks."""
+    """Counts and scores of parts by their number in ``memory``, kept over a worker's tasks."""
 
     def __init__(self, path: str):
-        self.counter = _counter(path)
+        self.counter, self.memory = _counter(path), W.Memory(REMEMBER)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.tokens, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        self.tokens, self.scores = np.zeros(0, np.int64), np.zeros(0)
 
     def of(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and scores of a slice's texts."""
         start, end, blank, origin = _parts(raw, bounds)
-        key = W.mix(W.span_keys(raw, start, end) + blank.astype(np.uint64))
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        if not known.all():
-            if len(self.keys) + (~known).sum() > REMEMBER:
-                self.clear()
-                known[:] = False
-            whole, new = raw.tobytes(), first[~known]
+        at, new, afresh = self.memory.places(raw, start, end, blank)
+        if afresh:
+            self.clear()
+        if len(new):
+            whole = raw.tobytes()
             found = [self.counter.count((SPACE_MARK if m else "") + whole[a:b].decode("utf-8", "replace")) for a, b, m in zip(start[new].tolist(), end[new].tolist(), blank[new].tolist())]
-            keys = np.concatenate([self.keys, distinct[~known]])
-            tokens = np.concatenate([self.tokens, np.array([t for t, _ in found], np.int64)])
-            scores = np.concatenate([self.scores, np.array([s for _, s in found])])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.tokens, self.scores = keys[order], tokens[order], scores[order]
-        at = np.searchsorted(self.keys, distinct)[inverse]
+            self.tokens = np.concatenate([self.tokens, np.array([t for t, _ in found], np.int64)])
+            self.scores = np.concatenate([self.scores, np.array([s for _, s in found])])
         doc = np.searchsorted(bounds, origin, "right") - 1
         n = len(bounds) - 1
         return np.bincount(doc, self.tokens[at], n).astype(np.int64), np.bincount(doc, self.scores[at], n)
