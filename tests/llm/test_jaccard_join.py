@@ -145,3 +145,41 @@ def test_a_group_around_its_pivot_is_linked_without_block_pairs(spark, monkeypat
         rows.append((i, " ".join(near), None, None, None))
     got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == brute(rows)
+
+
+def near_copies(rng, n, changes, size=120):
+    base, rows = [f"b{i}" for i in range(size)], []
+    for i in range(n):
+        near = list(base)
+        for _ in range(rng.randrange(changes + 1)):
+            near[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near), None, None, None))
+    return rows
+
+
+def test_hot_shingles_take_their_own_way(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_POINTS", 5)
+    monkeypatch.setattr(jaccard_join, "HOT_RUN", 2)
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 12)
+    rows = near_copies(random.Random(3), 60, 9) + awkward(random.Random(3))
+    got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)
+
+
+@pytest.mark.parametrize(("rounds", "size"), [(1, 10**8), (6, 10**8), (6, 0)])
+def test_regions_split_by_pivots_are_whole(spark, monkeypatch, rounds, size):
+    """Several groups that share a rare passage: cells part them; with one round only, blocks do; without broadcast, joins do."""
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 6)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", size)
+    rng = random.Random(rounds)
+    rows, passage = [], [f"p{i}" for i in range(60)]
+    for group in range(5):
+        own = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(14):
+            near = own + passage
+            for _ in range(rng.randrange(14)):
+                near[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near), None, None, None))
+    got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)
