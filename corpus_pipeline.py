@@ -13,8 +13,9 @@ from palimpsest.llm import boilerplate, decontaminate, jaccard_join, language, p
 from palimpsest.llm.queries import tokenizer_file
 from palimpsest.llm.shared import stored, table
 
-#: Documents whose language has a smaller mean marginal are in no language that the labels know.
-LEAST_SCORE = 0.35
+#: A document is in no language that the labels know if fewer than this share of its words, less SLACK words, are like
+#: the learned ones.  However evenly its languages share a text, it stays.
+LEAST_LIKE, SLACK = 0.5, 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs)
     held = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     found = language.identify(held, model, extra=["_row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("n_like") + SLACK >= LEAST_LIKE * F.col("n_words"))).select("_row.*")
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +36,20 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with one id, one.  Rows without an id stay."""
-    groups = jaccard_join.jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    kept = rows.join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the document with the smallest id (a null one is the largest), once.
+
+    A document is an id with a text, so that other texts under one id, and rows
+    without an id, are documents of their own.  Rows without words have no links
+    and all stay.
+    """
+    classes = jaccard_join.jaccard_classes(docs)
+    stays = classes.where("n = 0 or (first.id = id and first.th = th)").select("id", "th", F.expr("n > 0").alias("linked"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
+    found = rows.join(stays, ["id", "th"])
+    apart = F.when(~F.col("linked"), F.monotonically_increasing_id())
+    others = [F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = Window.partitionBy("id", "th", "apart").orderBy(F.xxhash64(*others))
+    return found.withColumn("apart", apart).withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
