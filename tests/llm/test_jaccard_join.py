@@ -24,8 +24,7 @@ def shingles(text, n=5):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
 
 
-def brute(rows):
-    big = 2**63 - 1
+def brute_labels(rows):
     sets = [shingles(r[1]) for r in rows]
     label = list(range(len(rows)))
     for i, j in itertools.combinations(range(len(rows)), 2):
@@ -33,6 +32,12 @@ def brute(rows):
         if a and b and 100 * len(a & b) >= 75 * len(a | b) and label[i] != label[j]:
             old, new = label[i], label[j]
             label = [new if x == old else x for x in label]
+    return label
+
+
+def brute(rows):
+    big = 2**63 - 1
+    sets, label = [shingles(r[1]) for r in rows], brute_labels(rows)
     ids = [big if r[0] is None else r[0] for r in rows]
     low = {}
     for i, x in enumerate(label):

@@ -52,12 +52,13 @@ def kept_rows(rows):
     after = []
     for i, found in cleaned.items():
         after += [(i, body, *host[i][0][2:4], len(body)) for body, _ in found]
-    groups = {(i, component) for i, _, component in test_jaccard_join.brute(after)}
-    first, seen = [], set()
-    for r in after:
-        if r[0] is None or ((r[0], r[0]) in groups and r[0] not in seen):
-            seen.add(r[0])
-            first.append(r)
+    component = {}
+    for r, label in zip(after, test_jaccard_join.brute_labels(after)):
+        component.setdefault(label, []).append(r)
+    first = []
+    for own in component.values():
+        worded = test_jaccard_join.WORD.search(own[0][1] or "")
+        first += [min(own, key=lambda r: 2**63 - 1 if r[0] is None else r[0])] if worded else own
     items = [(1, "the quick brown fox jumps over the lazy dog near the river bank today")]
     hit = {x[0] for x in test_decontaminate.brute(first, items) if x[5]}
     return [r for r in first if r[0] not in hit]
@@ -88,13 +89,43 @@ def test_run_matches_brute_force(spark, sf_dir):
     assert {r[0] for r in want} >= {0, 1, 2} and not {3, 23, 203, 300, 400, 401, 402} & {r[0] for r in want}
 
 
+def test_copies_are_of_one_id_and_text(spark, sf_dir):
+    """Other texts under one id are no copies; texts without an id are; wordless rows all stay."""
+    import random
+
+    rng = random.Random(3)
+    one, other, third, fourth = (text(rng, "xx", 60) for _ in range(4))
+    near = one.rsplit(" ", 1)[0] + " changed"
+    rows = [(5, one), (5, other), (5, one), (7, near), (None, third), (None, third), (None, near), (None, fourth), (8, ""), (8, ""), (None, None), (None, None), (9, " ... "), (2, fourth)]
+    docs = spark.createDataFrame([(*r, "xx", "s", 0) for r in rows], SCHEMA).selectExpr("*", "map(1, 2) as th", "1 as apart", "2 as place")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir[0])
+    assert kept.columns == docs.columns
+    want = [(5, one), (5, other), (None, third), (8, ""), (8, ""), (None, None), (None, None), (9, " ... "), (2, fourth)]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted(want, key=str)
+
+
+def test_texts_of_no_known_language_go(spark, sf_dir):
+    import random
+
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
+    letters = "bcdfghjlpqrvwxyz"
+    junk = [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(4, 11))) for _ in range(40)), None, "s0", 0) for i in range(50)]
+    mixed = [(2000 + i, " ".join(text(rng, x, 12) for x in LANGS), None, "s0", 0) for i in range(50)]
+    short = [(3000, "qqqq", None, "s0", 4)]
+    out = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(junk + mixed + short, SCHEMA)), sf_dir[0])
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    assert len(kept & {r[0] for r in junk}) <= 1 and {r[0] for r in mixed + short} <= kept
+
+
 def test_one_document_of_a_large_copy_group_keeps_its_text(spark, sf_dir):
     """Ten copies on a host of 100 pages are more than the ratio; so is the menu, which goes."""
     page = "\n".join(f"line {j} of the copied page has words of its own {j * 7}" for j in range(6))
     rows = [(i, f"menu of the site\nown words {i} of page {i * 3} and {i * 5} more", "en", "s", 0) for i in range(90)]
     rows += [(200 + i, "menu of the site\n" + page + (" " if i % 2 else ""), "en", "s", 0) for i in range(10)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    cleaned = corpus_pipeline.drop_site_lines(spark, docs, sf_dir[0]).localCheckpoint()
+    cleaned = corpus_pipeline.drop_site_lines(spark, docs, sf_dir[0]).checkpoint()
     assert {r.text.strip() for r in cleaned.where("doc_id >= 200").collect()} == {page}
     assert not cleaned.where("text like '%menu%'").count()
     kept = corpus_pipeline.drop_near_copies(spark, cleaned, sf_dir[0]).where("doc_id >= 200").collect()
