@@ -2,7 +2,12 @@
 
 Candidates, features and the forest's votes are DataFrame expressions.  The
 forest is small and fitted on the driver from labelled findings, whose features
-come from the same expressions; it goes into a query as a literal.
+come from the same expressions; it goes into a query as a literal.  One feature
+is learned itself: how much likelier a candidate's pairs of neighbouring
+characters are in secrets than in other findings.
+
+Candidates are runs of 16 characters or more; shorter passwords, and what keys
+in PEM blocks say beyond their base64 lines, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,13 +27,15 @@ SECRET_WORDS = "(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|priv
 HARMLESS_WORDS = "(?i)(sha|md5|commit|checksum|digest|hash|uuid|guid|revision|isbn|order|example|phone|card|account|version|path|file|see)"
 
 #: Labelled findings and size of the forest.
-FINDINGS, TREES, DEPTH, LEAST_LEAF = 1500, 25, 7, 4
+FINDINGS, TREES, DEPTH, LEAST_LEAF = 3000, 25, 7, 4
 #: Share of trees from which a candidate counts as a secret.
 VOTES = 0.5
 #: Words before and after a candidate that features look at.
 BEFORE, AFTER = 3, 2
 
-NAMES = ("length", "transitions", "digits", "uppers", "distinct", "dictionary", "letters_run", "slashes", "path", "assigned", "secret_word", "harmless_word")
+#: Kinds of characters in pairs: letters in either case, digits, others; findings added to each pair's count.
+KINDS, PRIOR = 28, 2.0
+NAMES = ("length", "transitions", "pairs", "digits", "uppers", "distinct", "dictionary", "letters_run", "slashes", "path", "assigned", "secret_word", "harmless_word")
 
 
 def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +66,28 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def features() -> Column:
-    """Array of doubles in the order of NAMES, from before, own, after, candidate."""
+def fit_pairs(candidates: list[str], labels: list[int]) -> list[float]:
+    """Log ratios of secrets' and other findings' shares of each pair of neighbouring characters, row by row."""
+    counts = np.full((2, KINDS * KINDS), PRIOR)
+    for candidate, label in zip(candidates, labels):
+        kind = [ord(c) - 97 if "a" <= c <= "z" else 26 if c.isdigit() else 27 for c in candidate.lower()]
+        for a, b in zip(kind, kind[1:]):
+            counts[label, a * KINDS + b] += 1
+    share = counts / counts.sum(1, keepdims=True)
+    return np.log(share[1] / share[0]).tolist()
+
+
+def _pairs(candidate: Column, table: list[float]) -> Column:
+    """Mean log ratio of a candidate's pairs."""
+    ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    folded = F.translate(F.lower(candidate), "0123456789+/_=-", "{" * 10 + "|" * 5)
+    kinds, n = F.transform(F.split(folded, ""), lambda c: F.ascii(c) - 97), F.length(candidate) - 1
+    each = F.zip_with(F.slice(kinds, 1, n), F.slice(kinds, 2, n), lambda a, b: F.get(ratios, a * KINDS + b))
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / n
+
+
+def features(pairs: list[float]) -> Column:
+    """Array of doubles in the order of NAMES, from before, own, after, candidate; ``pairs`` as ``fit_pairs`` has them."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     share = lambda pattern: 1 - _left(c, pattern) / n
     # a transition is a place where the kind of character changes
@@ -74,6 +101,7 @@ def features() -> Column:
     return F.array(
         n,
         number(F.length(kinds) - 1) / n,
+        _pairs(c, pairs),
         share("[0-9]"),
         share("[A-Z]"),
         number(F.size(F.array_distinct(F.split(c, "")))) / n,
@@ -94,6 +122,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     text = lambda chars, k: "".join(pick(chars) for _ in range(k))
     syllables = ["er", "th", "an", "ion", "ung", "eit", "que", "eau", "ción", "mente", "in", "re", "on", "en", "st"]
+    syllables += ["sch", "pf", "tz", "ge", "be", "ver", "zu", "lich", "keit", "ch", "str", "kl", "gr", "lou", "tre", "ba", "do", "mi", "qua", "ly"]
     prose = lambda: "".join(pick(syllables) for _ in range(rng.randrange(1, 4)))
     around = lambda k: [prose() + pick(["", "", ",", "."]) for _ in range(k)]
     out = []
@@ -129,8 +158,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
                 own = candidate = text("0123456789", pick([16, 16, 18, 20]))
             elif kind == 1:
                 own = candidate = "".join(pick([s for s in syllables if s.isascii()]) for _ in range(rng.randrange(9, 16)))
-                if rng.random() < 0.3:
-                    own = candidate = candidate.upper()
+                shape = rng.random()
+                own = candidate = candidate.upper() if shape < 0.3 else candidate.capitalize() if shape < 0.5 else candidate
             elif kind == 2:
                 own = candidate = "-".join(text(hexes, k) for k in (8, 4, 4, 4, 12))
                 before += [pick(["id", "uuid", "uuid:", "request"])]
@@ -209,19 +238,30 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = TREES, depth: int =
     return out
 
 
-def train(spark: SparkSession, labelled: list[dict] | None = None) -> list[Tree]:
-    """A forest from at most ``FINDINGS`` labelled findings (before, own, after, candidate, label)."""
+class Forest(NamedTuple):
+    trees: list[Tree]
+    pairs: list[float]
+
+
+def train(spark: SparkSession, labelled: list[dict] | None = None) -> Forest:
+    """A forest from at most ``FINDINGS`` labelled findings (before, own, after, candidate, label).
+
+    Pairs of characters are learned from one half, trees from the other, so that
+    trees see pairs of findings that these weren't fitted on.
+    """
     rows = (labelled or labelled_findings())[:FINDINGS]
+    first = [i for i in range(len(rows)) if i // 2 % 2 == 0]
+    pairs = fit_pairs([rows[i]["candidate"] for i in first], [rows[i]["label"] for i in first])
     kind = "array<struct<before string, own string, after string, candidate string, label int>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
-    got = table.select(features().alias("x"), "label").collect()
-    return fit_forest(np.array([r.x for r in got]), np.array([r.label for r in got], float))
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([r for i, r in enumerate(rows) if i // 2 % 2])), kind)))
+    got = table.select(features(pairs).alias("x"), "label").collect()
+    return Forest(fit_forest(np.array([r.x for r in got]), np.array([r.label for r in got], float)), pairs)
 
 
-def vote(forest: list[Tree], x: Column, depth: int = DEPTH) -> Column:
+def vote(trees: list[Tree], x: Column, depth: int = DEPTH) -> Column:
     """Mean share of secrets in the leaves that the features lead to."""
     kind = "array<struct<feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>>>"
-    trees = F.from_json(F.lit(json.dumps([t._asdict() for t in forest])), kind)
+    all_trees = F.from_json(F.lit(json.dumps([t._asdict() for t in trees])), kind)
 
     def leaf(t: Column) -> Column:
         def step(at: Column, _: Column) -> Column:
@@ -230,12 +270,12 @@ def vote(forest: list[Tree], x: Column, depth: int = DEPTH) -> Column:
 
         return F.get(t.value, F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step))
 
-    return F.aggregate(F.transform(trees, leaf), F.lit(0.0), lambda a, v: a + v) / float(len(forest))
+    return F.aggregate(F.transform(all_trees, leaf), F.lit(0.0), lambda a, v: a + v) / float(len(trees))
 
 
-def scan(docs: DataFrame, *, forest: list[Tree] | None = None, id_col: str = "doc_id", text_col: str = "text", votes: float = VOTES) -> DataFrame:
+def scan(docs: DataFrame, *, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", votes: float = VOTES) -> DataFrame:
     """Every candidate of every row: doc_id, line, word, candidate, score, secret."""
     forest = forest or train(docs.sparkSession)
-    found = findings(docs, id_col=id_col, text_col=text_col).withColumn("x", features())
-    score = F.round(vote(forest, F.col("x")), 6)
+    found = findings(docs, id_col=id_col, text_col=text_col).withColumn("x", features(forest.pairs))
+    score = F.round(vote(forest.trees, F.col("x")), 6)
     return found.select("doc_id", "line", "word", "candidate", score.alias("score")).withColumn("secret", F.col("score") >= votes)
