@@ -1,8 +1,8 @@
 """RDF terms as Spark structs, and SPARQL's functions on them as column expressions.
 
 A term is ``STRUCT<id, kind, lex, dt, lang>``: ``kind`` is 0 IRI, 1 blank node,
-2 literal, 3 quoted triple; ``lex`` is verbatim; ``id`` is a 64-bit hash of the
-rest, so term equality, joins, DISTINCT and GROUP BY need the id alone.  Value
+2 literal, 3 quoted triple; ``lex`` is verbatim; ``id`` is a 128-bit hash of the
+rest (two 64-bit ones with different seeds), so term equality, joins, DISTINCT and GROUP BY need the id alone.  Value
 comparison works on values derived at query time.  An unbound variable and an
 expression error are both NULL, which SQL's three-valued logic treats as SPARQL
 does.  Functions take columns, constants or ``Term`` objects and give ``Term``
@@ -26,7 +26,7 @@ IRI, BNODE, LITERAL, TRIPLE = 0, 1, 2, 3
 STRING, BOOLEAN, INTEGER, DECIMAL = XSD + "string", XSD + "boolean", XSD + "integer", XSD + "decimal"
 FLOAT, DOUBLE, DATETIME, DATE = XSD + "float", XSD + "double", XSD + "dateTime", XSD + "date"
 LANG = RDF + "langString"
-TERM = "struct<id:bigint,kind:tinyint,lex:string,dt:string,lang:string>"
+TERM = "struct<id:struct<a:bigint,b:bigint>,kind:tinyint,lex:string,dt:string,lang:string>"
 #: Datatypes that count as integers.
 INTEGERS = [XSD + x for x in ("integer", "byte", "short", "int", "long", "unsignedByte", "unsignedShort", "unsignedInt", "unsignedLong", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger")]
 
@@ -41,12 +41,16 @@ class Term:
     @property
     def id(self) -> Column:
         if self._id is None:
-            return F.when(self.lex.isNotNull(), F.xxhash64(self.kind, self.lex, F.coalesce(self.dt, F.lit("")), F.coalesce(self.lang, F.lit(""))))
+            return F.when(self.lex.isNotNull(), self._hash())
         return self._id
 
+    def _hash(self) -> Column:
+        parts = [self.kind, self.lex, F.coalesce(self.dt, F.lit("")), F.coalesce(self.lang, F.lit(""))]
+        return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
     def struct(self) -> Column:
         """The struct of a term that is always there; single fields then need no struct at all."""
-        id_ = self._id if self._id is not None else F.xxhash64(self.kind, self.lex, F.coalesce(self.dt, F.lit("")), F.coalesce(self.lang, F.lit("")))
+        id_ = self._id if self._id is not None else self._hash()
         return F.struct(id_.alias("id"), self.kind.alias("kind"), self.lex.alias("lex"), self.dt.alias("dt"), self.lang.alias("lang"))
 
     def column(self) -> Column:

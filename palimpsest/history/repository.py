@@ -25,6 +25,8 @@ from . import algebra
 NAME = re.compile(r"[A-Za-z0-9_./-]{1,128}")
 #: Commits between full snapshots.
 CHECKPOINT_EVERY = 20
+#: Seconds for which data without a ref may be a writer's that is still at work.
+VACUUM_AGE = 24 * 3600.0
 DELTA = f"op tinyint, s {T.TERM}, p {T.TERM}, o {T.TERM}, g {T.TERM}"
 
 
@@ -77,6 +79,8 @@ class Commit:
     message: str
     ts: float
     prefixes: dict = field(default_factory=dict)
+    generation: int = 1  # one more than the parents' largest
+    depth: int = 1  # commits of the chain of first parents
 
 
 def commit_id(tree: str, parents: list[str], author: str, message: str) -> str:
@@ -87,6 +91,7 @@ def commit_id(tree: str, parents: list[str], author: str, message: str) -> str:
 class Repository:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root.rstrip("/"))
+        self._commits: dict[str, Commit] = {}  # commits never change
 
     # names
     def _check(self, name: str) -> str:
@@ -122,7 +127,9 @@ class Repository:
 
     # commits
     def commit(self, id_: str) -> Commit:
-        return Commit(**json.loads(self.files.read(f"commits/{id_}")))
+        if id_ not in self._commits:
+            self._commits[id_] = Commit(**json.loads(self.files.read(f"commits/{id_}")))
+        return self._commits[id_]
 
     def resolve(self, at: str | float) -> str:
         """A commit by id, branch, tag, or the latest of ``main`` not after a time in seconds."""
@@ -153,6 +160,10 @@ class Repository:
         rows = [(c.id, c.parents, c.author, c.message, i) for i, c in enumerate(self.history(at))]
         return self.spark.createDataFrame(rows, "id string, parents array<string>, author string, message string, seq long")
 
+    def _old(self, p: str, age: float) -> bool:
+        """Whether a file or folder was last changed more than ``age`` seconds ago."""
+        return time.time() - self.files.fs.getFileStatus(self.files.path(p)).getModificationTime() / 1000 >= age
+
     def ancestors(self, id_: str) -> set[str]:
         seen, todo = set(), [id_]
         while todo:
@@ -162,13 +173,22 @@ class Repository:
         return seen
 
     def is_ancestor(self, one: str, other: str) -> bool:
-        return self.resolve(one) in self.ancestors(self.resolve(other))
+        """Commits of a smaller generation than ``one`` can't lead to it and aren't looked at."""
+        wanted, least = self.resolve(one), self.commit(self.resolve(one)).generation
+        seen, todo = set(), [self.resolve(other)]
+        while todo:
+            if (here := todo.pop()) == wanted:
+                return True
+            if here not in seen and self.commit(here).generation > least:
+                seen.add(here)
+                todo += self.commit(here).parents
+        return False
 
     def merge_base(self, one: str, other: str) -> str | None:
         """The common ancestor that no other one descends from; of several, the latest."""
         common = self.ancestors(self.resolve(one)) & self.ancestors(self.resolve(other))
-        best = [c for c in common if not any(c != d and c in self.ancestors(d) for d in common)]
-        return max(best, key=lambda c: (self.commit(c).ts, c), default=None)
+        below = {p for c in common for p in self.commit(c).parents}  # common ancestors are closed under parents
+        return max(common - below, key=lambda c: (self.commit(c).ts, c), default=None)
 
     # states
     def deltas(self, commits: list[str] | None = None) -> DataFrame:
@@ -217,11 +237,16 @@ class Repository:
         id_ = commit_id(tree, parents, author, message)
         fs, path = self.files.fs, self.files.path
         fs.mkdirs(path("deltas"))
-        if not self.files.exists(f"deltas/commit={id_}"):
-            fs.rename(path(staged.removeprefix(f"{self.root}/")), path(f"deltas/commit={id_}"))
-        self.files.create(f"commits/{id_}", json.dumps(asdict(Commit(id_, tree, parents, author, message, time.time(), prefixes))))
+        here = staged.removeprefix(f"{self.root}/")
+        if self.files.exists(f"deltas/commit={id_}"):
+            self.files.delete(here)
+        elif not fs.rename(path(here), path(f"deltas/commit={id_}")) and not self.files.exists(f"deltas/commit={id_}"):
+            raise OSError(f"{staged} couldn't be moved to its commit")
+        above = [self.commit(p) for p in parents]
+        about = Commit(id_, tree, parents, author, message, time.time(), prefixes, 1 + max((c.generation for c in above), default=0), 1 + (above[0].depth if above else 0))
+        self.files.create(f"commits/{id_}", json.dumps(asdict(about)))
         self.set_ref(branch, id_, version)
-        if len(self.chain(id_)) % CHECKPOINT_EVERY == 0:
+        if about.depth % CHECKPOINT_EVERY == 0:
             self.checkpoint(id_)
         return id_
 
@@ -318,17 +343,23 @@ class Repository:
             return tip
         return self.merge(branch, f"origin/{branch}")
 
-    def vacuum(self) -> list[str]:
-        """Removes data that no ref or tag leads to."""
+    def vacuum(self, age: float = VACUUM_AGE) -> list[str]:
+        """Removes data that no ref or tag leads to and that is at least ``age`` seconds old.
+
+        A writer's data is there before its ref is, so the age has to be more than
+        a write takes; younger garbage goes with a later call.
+        """
         live = set().union(*[self.ancestors(self.ref(b)) for b in self.branches()], *[self.ancestors(c) for c in self.tags().values()])
-        gone = [c for c in self.files.names("commits") if c not in live]
+        gone = [c for c in self.files.names("commits") if c not in live and self._old(f"commits/{c}", age)]
         for c in gone:
             for p in (f"commits/{c}", f"deltas/commit={c}", f"checkpoints/{c}"):
                 self.files.delete(p)
         for d in self.files.names("deltas"):
-            if d.startswith("commit=") and d.removeprefix("commit=") not in live:
+            if d.startswith("commit=") and d.removeprefix("commit=") not in live and self._old(f"deltas/{d}", age):
                 self.files.delete(f"deltas/{d}")
-        self.files.delete("staging")
+        for s in self.files.names("staging"):
+            if self._old(f"staging/{s}", age):
+                self.files.delete(f"staging/{s}")
         return gone
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..plans.graph import DistinctTerms
 
 
 def count(name: str | None = None, distinct: bool = False) -> T.Term:
@@ -15,29 +16,30 @@ def count(name: str | None = None, distinct: bool = False) -> T.Term:
     return T.integer(F.count_distinct(x) if distinct else F.count(x))
 
 
-def _numeric(name, distinct: bool):
-    t = T.as_term(name)
-    total, ok = F.count("*"), F.count(T.dbl(t))
-    add = (lambda x: F.sum_distinct(x)) if distinct else F.sum
-    return t, total == ok, add
+def _exact_sum(t: T.Term) -> Column:
+    """The decimal sum, 0 of nothing; NULL where it has too many digits."""
+    return F.when(F.count(T.dec(t)) == 0, F.lit(0).cast("decimal(38,10)")).otherwise(F.try_sum(T.dec(t)).try_cast("decimal(38,10)"))
 
 
-def sum_(name, distinct: bool = False) -> T.Term:
-    """Promoted sum; 0 of nothing; an error if a value isn't numeric."""
-    t, fine, add = _numeric(name, distinct)
+def sum_(name, distinct: bool = False) -> T.Term | DistinctTerms:
+    """Promoted sum; 0 of nothing; an error if a value isn't numeric or an exact sum has too many digits.  DISTINCT is by term: 1 and 01 are two."""
+    if distinct:
+        return DistinctTerms(name, lambda: sum_(name))
+    t = T.as_term(name)
     r = F.coalesce(F.max(T.rank(t)), F.lit(1))
-    exact, wide = F.coalesce(add(T.dec(t)), F.lit(0).cast("decimal(38,10)")), F.coalesce(add(T.dbl(t)), F.lit(0.0))
-    return T.choose(fine, T.number(exact.try_cast("decimal(38,10)"), wide, r))
+    return T.choose(F.count("*") == F.count(T.dbl(t)), T.number(_exact_sum(t), F.coalesce(F.sum(T.dbl(t)), F.lit(0.0)), r))
 
 
-def avg(name, distinct: bool = False) -> T.Term:
-    """Promoted mean (a decimal at least); 0 of nothing; an error if a value isn't numeric."""
-    t, fine, add = _numeric(name, distinct)
-    n = F.count_distinct(t.id) if distinct else F.count(t.lex)
+def avg(name, distinct: bool = False) -> T.Term | DistinctTerms:
+    """Promoted mean (a decimal at least); 0 of nothing; an error as for the sum."""
+    if distinct:
+        return DistinctTerms(name, lambda: avg(name))
+    t = T.as_term(name)
+    n = F.count(t.lex)
     r = F.coalesce(F.greatest(F.max(T.rank(t)), F.lit(2)), F.lit(1))
-    exact = F.coalesce(F.try_divide(add(T.dec(t)), n.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,10)"))
-    wide = F.coalesce(F.try_divide(add(T.dbl(t)), n), F.lit(0.0))
-    return T.choose(fine, T.number(exact.try_cast("decimal(38,10)"), wide, r))
+    exact = F.when(n == 0, F.lit(0).cast("decimal(38,10)")).otherwise(F.try_divide(_exact_sum(t), n.cast("decimal(38,0)")).try_cast("decimal(38,10)"))
+    wide = F.coalesce(F.try_divide(F.sum(T.dbl(t)), n), F.lit(0.0))
+    return T.choose(F.count("*") == F.count(T.dbl(t)), T.number(exact, wide, r))
 
 
 def _sortable(name: str) -> Column:

@@ -94,21 +94,42 @@ def closure(pairs: DataFrame) -> DataFrame:
     more = [c for c in pairs.columns if c == "g"]
     ids = [F.col(c)["id"].alias(c) for c in ("start", "end", *more)]
     keys = ["start", "end", *more]
-    reach = cut(pairs.select(*ids).distinct())
-    size = reach.count()
+    new = cut(pairs.select(*ids).distinct())
+    reach = new
     while True:
-        onward = reach.select(F.col("start").alias("end"), F.col("end").alias("far"), *more)
-        reach = cut(reach.union(reach.join(onward, ["end", *more]).select("start", F.col("far").alias("end"), *more)).distinct().select(*keys))
-        if (now := reach.count()) == size:
+        # only what the last round found is joined anew, on either side
+        ahead = lambda df: df.select(F.col("start").alias("end"), F.col("end").alias("far"), *more)
+        step = lambda a, b: a.join(ahead(b), ["end", *more]).select("start", F.col("far").alias("end"), *more)
+        found = step(new, reach).union(step(reach, new)) if new is not reach else step(new, reach)
+        new = cut(found.distinct().join(reach, keys, "left_anti").select(*keys))
+        if new.isEmpty():
             break
-        size = now
-    term = pairs.select(F.explode(F.array(*keys)).alias("t")).groupBy(F.col("t")["id"].alias("n")).agg(F.first("t").alias("t"))
-    term = cut(term)
+        reach = reach.union(new)
+    return _with_terms(reach, pairs, keys)
+
+
+def _with_terms(reach: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    term = cut(pairs.select(F.explode(F.array(*keys)).alias("t")).groupBy(F.col("t")["id"].alias("n")).agg(F.first("t").alias("t")))
     for c in keys:
         reach = reach.join(term.select(F.col("n").alias(c), F.col("t").alias(f"{c}_t")), c)
     return reach.select(*[F.col(f"{c}_t").alias(c) for c in keys])
 
 
+def closure_from(pairs: DataFrame, end: str, term: T.Const) -> DataFrame:
+    """The closure's pairs whose ``end`` (start or end) is a constant: a frontier goes out from it, one step a round."""
+    more = [c for c in pairs.columns if c == "g"]
+    other, keys = "end" if end == "start" else "start", ["start", "end", *more]
+    steps = cut(pairs.select(*[F.col(c)["id"].alias(c) for c in keys]).distinct())
+    own = pairs.where(const_filter(end, term)).select(*[F.col(c)["id"].alias(c) for c in keys]).distinct()
+    new = reach = cut(own)
+    while not new.isEmpty():
+        # the frontier's far side becomes the next step's near side
+        onward = new.select(F.col(end).alias("__from"), F.col(other).alias(end), *more).join(steps, [end, *more]).select(F.col("__from").alias(end), other, *more).select(*keys)
+        new = cut(onward.distinct().join(reach, keys, "left_anti").select(*keys))
+        reach = reach.union(new)
+    return _with_terms(reach, pairs, keys)
+
+
 def pairs(path: Path, triples: DataFrame) -> DataFrame:
     """Pairs of a path over triples; with a column g, paths stay inside a graph."""
     more = [c for c in triples.columns if c == "g"]
@@ -151,7 +172,14 @@ def match(dataset: Graph, start, path: Path, end, graph: T.Const | Var | None =
     where it isn't in the data (the graph variable is then unbound).
     """
     triples = dataset.triples(graph)
-    df, maybe = pairs(path, triples), set()
+    fixed = next(((c, x) for c, x in (("start", start), ("end", end)) if isinstance(x, T.Const)), None)
+    if fixed and isinstance(path, (Plus, Star)):
+        df = closure_from(pairs(path.path, triples), *fixed)
+        if isinstance(path, Star):
+            df = _distinct(df.unionByName(vertices(triples).where(const_filter(*fixed))))
+    else:
+        df = pairs(path, triples)
+    maybe = set()
     zero = isinstance(path, (Star, Optional_))
     for x, y in ((start, end), (end, start)):
         if zero and isinstance(x, T.Const) and (isinstance(y, Var) or x == y):

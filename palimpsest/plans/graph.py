@@ -10,10 +10,12 @@ strategies are left to Catalyst and adaptive execution.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -38,6 +40,14 @@ def const_filter(column: str, term: T.Const) -> Column:
     return out & (c["lang"] == term.tag.lower()) if term.tag else out
 
 
+@dataclass(frozen=True)
+class DistinctTerms:
+    """An aggregate over the distinct terms of a variable; ``over_terms`` builds it for one row a term."""
+
+    name: str
+    over_terms: Callable[[], T.Term]
+
+
 class Solutions:
     """A bag of solutions; ``maybe`` are the variables that can be unbound."""
 
@@ -49,22 +59,45 @@ class Solutions:
         return self.df.columns
 
     # joins
-    def _joined(self, other: Solutions, how: str, extra: Column | None = None) -> tuple[DataFrame, list[str]]:
-        shared = [v for v in self.vars if v in other.vars]
-        right = other.df.select(*[F.col(f"`{v}`").alias(f"{v}__r" if v in shared else v) for v in other.vars])
-        on = F.lit(True)
-        for v in shared:
+    def _cases(self, other: Solutions) -> list[tuple[Column, Column, Column]]:
+        """Ways in which rows of both sides are compatible: tests of the left and right rows, and an equality of ids.
+
+        An unbound variable is compatible with anything.  Each variable that may
+        be unbound is bound on both sides, or unbound left, or unbound right only,
+        so that each way is a join on equal ids, and no pair of rows has two ways.
+        """
+        cases = [(F.lit(True), F.lit(True), F.lit(True))]
+        for v in (v for v in self.vars if v in other.vars):
             a, b = F.col(v), F.col(f"{v}__r")
-            same = a["id"] == b["id"]
-            # an unbound variable is compatible with anything
+            ways = [(a.isNotNull() if v in self.maybe else F.lit(True), b.isNotNull() if v in other.maybe else F.lit(True), a["id"] == b["id"])]
             if v in self.maybe:
-                same = same | a.isNull()
+                ways.append((a.isNull(), F.lit(True), F.lit(True)))
             if v in other.maybe:
-                same = same | b.isNull()
-            on = on & same
-        if extra is not None:
-            on = on & F.coalesce(extra, F.lit(False))
-        return self.df.join(right, on, how), shared
+                ways.append((a.isNotNull() if v in self.maybe else F.lit(True), b.isNull(), F.lit(True)))
+            cases = [(x & left, y & right, z & on) for x, y, z in cases for left, right, on in ways]
+        return cases
+
+    def _joined(self, other: Solutions, how: str, extra: Column | None = None) -> tuple[DataFrame, list[str]]:
+        shared = [v for v in self.vars if v in other.vars]
+        right = other.df.select(*[F.col(f"`{v}`").alias(f"{v}__r" if v in shared else v) for v in other.vars])
+        extra = F.lit(True) if extra is None else F.coalesce(extra, F.lit(False))
+        cases = self._cases(other)
+        if len(cases) == 1:
+            return self.df.join(right, cases[0][2] & extra, how), shared
+        matched = [self.df.where(x).join(right.where(y), z & extra) for x, y, z in cases] if how in ("inner", "left") else []
+        rest, found = self.df, []
+        if how != "inner":
+            for x, y, z in cases:
+                # the left test goes into the condition: rows that fail it stay among the rest
+                if how == "left_semi":
+                    found.append(rest.join(right.where(y), x & z & extra, "left_semi"))
+                rest = rest.join(right.where(y), x & z & extra, "left_anti")
+        if how == "left_semi":
+            return reduce(DataFrame.unionByName, found), shared
+        if how == "left_anti":
+            return rest, shared
+        out = reduce(DataFrame.unionByName, matched)
+        return (out.unionByName(rest, allowMissingColumns=True) if how == "left" else out), shared
 
     def _merged(self, df: DataFrame, other: Solutions, shared: list[str]) -> DataFrame:
         cols = [F.coalesce(v, f"{v}__r").alias(v) if v in shared and v in self.maybe else F.col(v) for v in self.vars]
@@ -128,7 +161,7 @@ class Solutions:
         return Solutions(self.df.select(*[F.col(v).alias(back.get(v, v)) for v in self.vars]), {back.get(v, v) for v in self.maybe})
 
     def distinct(self) -> Solutions:
-        ids = [F.coalesce(F.col(v)["id"], F.lit(0)).alias(f"_{i}") for i, v in enumerate(self.vars)]
+        ids = [F.col(v)["id"].alias(f"_{i}") for i, v in enumerate(self.vars)]
         keyed = self.df.select("*", *ids)
         return Solutions(keyed.dropDuplicates([f"_{i}" for i in range(len(ids))]).select(*self.vars), self.maybe)
 
@@ -146,13 +179,33 @@ class Solutions:
 
     def group(self, *by: str, **aggregates: Callable[[], T.Term] | Column) -> Solutions:
         """GROUP BY term; without keys one group, of an empty bag too.  Aggregates: see ``operators.aggregates``."""
+        distinct = {k: a for k, a in aggregates.items() if isinstance(a, DistinctTerms)}
+        if distinct:
+            return self._group_distinct(by, aggregates, distinct)
         out = {k: (a.column() if isinstance(a, T.Term) else a) for k, a in aggregates.items()}
         if not by:
             return Solutions(self.df.agg(*[c.alias(k) for k, c in out.items()]), out)
-        keyed = self.df.groupBy(*[F.coalesce(F.col(v)["id"], F.lit(0)).alias(f"_{v}") for v in by])
+        keyed = self.df.groupBy(*[F.col(v)["id"].alias(f"_{v}") for v in by])
         df = keyed.agg(*[F.first(v).alias(v) for v in by], *[c.alias(k) for k, c in out.items()])
         return Solutions(df.select(*by, *out), (self.maybe & set(by)) | set(out))
 
+    def _group_distinct(self, by: tuple[str, ...], aggregates: dict, distinct: dict) -> Solutions:
+        """Each aggregate of distinct terms over one row a term, joined with the others by the keys' ids."""
+        ids = [F.col(v)["id"].alias(f"_{v}") for v in by]
+        rest = {k: a for k, a in aggregates.items() if k not in distinct}
+        parts = [self.df.groupBy(*ids).agg(*[F.first(v).alias(v) for v in by], *[(a.column() if isinstance(a, T.Term) else a).alias(k) for k, a in rest.items()], F.count("*").alias("__n"))]
+        for k, a in distinct.items():
+            names = [F.col(f"_{v}") for v in by]
+            once = self.df.select(*ids, F.col(a.name), F.col(a.name)["id"].alias("__id")).groupBy(*names, "__id").agg(F.first(a.name).alias(a.name))
+            parts.append(once.groupBy(*[F.col(f"_{v}").alias(f"_{v}__r") for v in by]).agg(a.over_terms().column().alias(k)))
+        df = parts[0]
+        for part in parts[1:]:
+            on = F.lit(True)
+            for v in by:
+                on = on & F.col(f"_{v}").eqNullSafe(F.col(f"_{v}__r"))
+            df = df.join(part, on).drop(*[f"_{v}__r" for v in by])
+        return Solutions(df.select(*by, *aggregates), (self.maybe & set(by)) | set(aggregates))
+
     # forms
     def ask(self) -> DataFrame:
         return self.df.limit(1).agg((F.count("*") > 0).alias("ask"))
@@ -298,11 +351,18 @@ def values(spark, names: list[str], rows: list[list[T.Const | None]]) -> Solutio
     return Solutions(df, {n for i, n in enumerate(names) if any(r[i] is None for r in rows)})
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` kept in the shared folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only on one machine a temporary one may stand in."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,12 +12,14 @@ from pyspark.sql import functions as F
 from .functions import terms as T
 from .functions.terms import I, L, Ref
 from .history import algebra
+from .history.repository import Repository, clone
 from .operators import aggregates as A
 from .operators import canon, update
 from .operators import paths as P
-from .plans.graph import DEFAULT, Graph, Solutions, Var, values
+from .plans.graph import DEFAULT, Graph, Solutions, Var, shared_folder, values
 from .sources import rdf
 from .sources.lift import edges, lift, lift_table, predicate
+from .streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,18 +72,25 @@ c, o, l, n, s, k, v, w, x, y, z, g = (Var(i) for i in "colnskvwxyzg")
 
 
 def edge_table(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "orders")
-    return d.select((F.col("o_custkey") % 400).alias("x"), (F.col("o_orderkey") % 401).alias("y")).distinct()
+    """Each order's customer and a customer told by its key: as many vertices as customers, about ten edges of each."""
+    n = read(spark, sf_dir, "customer").count()
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("x"), (F.col("o_orderkey") * 7919 % max(n, 1) + 1).alias("y")).distinct()
 
 
 def sparse_table(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "orders").where("o_orderkey % 37 = 0 and o_orderkey <= 9000")
-    return d.select((F.col("o_custkey") % 300).alias("x"), (F.col("o_orderkey") % 300).alias("y")).distinct()
+    """Customers and suppliers to their nations, nations to their regions; a vertex is its key times four and its table's number."""
+    c, s, n = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    vertex = lambda name, table: (F.col(name).cast("bigint") * 4 + table)
+    links = [(c, "c_custkey", 0, "c_nationkey", 2), (s, "s_suppkey", 1, "s_nationkey", 2), (n, "n_nationkey", 2, "n_regionkey", 3)]
+    return reduce(DataFrame.union, [d.select(vertex(x, i).alias("x"), vertex(y, j).alias("y")) for d, x, i, y, j in links])
 
 
 E = I("urn:e")
-G1 = "(SELECT DISTINCT o_custkey % 400 AS x, o_orderkey % 401 AS y FROM orders)"
-G2 = "(SELECT DISTINCT o_custkey % 300 AS x, o_orderkey % 300 AS y FROM orders WHERE o_orderkey % 37 = 0 AND o_orderkey <= 9000)"
+G1 = "(SELECT DISTINCT o_custkey AS x, o_orderkey * 7919 % greatest((SELECT count(*) FROM customer), 1) + 1 AS y FROM orders)"
+G2 = (
+    "(SELECT c_custkey * 4 AS x, c_nationkey::BIGINT * 4 + 2 AS y FROM customer UNION ALL SELECT s_suppkey * 4 + 1, s_nationkey::BIGINT * 4 + 2 FROM supplier "
+    "UNION ALL SELECT n_nationkey::BIGINT * 4 + 2, n_regionkey::BIGINT * 4 + 3 FROM nation)"
+)
 
 
 def order_chains(spark, sf_dir, ring: bool = False) -> DataFrame:
@@ -163,8 +173,7 @@ def bgp_repeated_var(spark, sf_dir):
 
 @query("SELECT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1)")
 def bgp_all_const(spark, sf_dir):
-    first = read(spark, sf_dir, "customer").where("c_custkey = 1").first()
-    m = graph(spark, sf_dir, "nation.n_name", "customer.c_name").bgp((n, p("nation.n_name"), v), (I("urn:t:customer/1"), p("customer.c_name"), L(first.c_name)))
+    m = graph(spark, sf_dir, "nation.n_name", "customer.c_custkey").bgp((n, p("nation.n_name"), v), (I("urn:t:customer/1"), p("customer.c_custkey"), L(1)))
     return m.df.select(lex("v").alias("name"))
 
 
@@ -182,9 +191,19 @@ def bgp_triangle_joins(spark, sf_dir):
     return Graph(edges(edge_table(spark, sf_dir)), merge=False).bgp((x, E, y), (y, E, z), (z, E, x)).df.agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT count(*) AS n FROM {G2} a JOIN {G2} b ON a.y = b.x JOIN {G2} c ON b.y = c.x JOIN {G2} d ON c.y = d.x AND d.y = a.x")
+#: An order's customer, and back to one order in four of each customer's, so that cycles of four are many and grow with the orders.
+G5 = "(SELECT o_orderkey * 2 AS x, o_custkey * 2 + 1 AS y FROM orders UNION ALL SELECT o_custkey * 2 + 1, o_orderkey * 2 FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+def both_ways(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "orders")
+    order, customer = F.col("o_orderkey") * 2, F.col("o_custkey") * 2 + 1
+    return d.select(order.alias("x"), customer.alias("y")).union(d.where("o_orderpriority = '1-URGENT'").select(customer, order))
+
+
+@query(f"WITH e AS (SELECT * FROM {G5}) SELECT count(*) AS n FROM e a JOIN e b ON a.y = b.x JOIN e c ON b.y = c.x JOIN e d ON c.y = d.x AND d.y = a.x")
 def bgp_4cycle(spark, sf_dir):
-    return Graph(edges(sparse_table(spark, sf_dir)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w)).df.agg(F.count("*").alias("n"))
+    return Graph(edges(both_ways(spark, sf_dir)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w)).df.agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT x FROM {G4} WHERE x = y")
@@ -311,12 +330,13 @@ def subselect(spark, sf_dir):
     return m.df.select(key("c").alias("c"), lex("s").alias("seg"), whole("k").alias("orders"))
 
 
-@query("SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM (SELECT * FROM customer WHERE c_custkey % 50 = 0), (SELECT * FROM supplier WHERE s_suppkey % 50 = 1) WHERE c_acctbal < s_acctbal GROUP BY ALL")
+@query("SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY ALL")
 def theta_join(spark, sf_dir):
+    """Customers and their nation's suppliers of a larger balance: equal on one variable, compared on another."""
     q = graph(spark, sf_dir, "customer.c_acctbal", "customer.c_nationkey", "supplier.s_acctbal", "supplier.s_nationkey")
-    one = q.bgp((c, p("customer.c_acctbal"), v), (c, p("customer.c_nationkey"), x)).filter(key("c") % 50 == 0)
-    two = q.bgp((s, p("supplier.s_acctbal"), w), (s, p("supplier.s_nationkey"), y)).filter(key("s") % 50 == 1)
-    m = one.join(two).filter(T.lt(F.col("v"), F.col("w"))).group("x", "y", n=A.count())
+    one = q.bgp((c, p("customer.c_acctbal"), v), (c, p("customer.c_nationkey"), x)).numbers("v")
+    two = q.bgp((s, p("supplier.s_acctbal"), w), (s, p("supplier.s_nationkey"), x)).numbers("w")
+    m = one.join(two).filter(T.lt(T.numbered("v"), T.numbered("w"))).bind("y", F.col("x")).group("x", "y", n=A.count())
     return m.df.select(key("x").cast("int").alias("a"), key("y").cast("int").alias("b"), whole("n").alias("n"))
 
 
@@ -592,9 +612,9 @@ def path_star(spark, sf_dir):
     return P.match(_sparse(spark, sf_dir), x, P.Star(STEP), y).df.select(_vertex("x"), _vertex("y"))
 
 
-@query(f"{CLOSURE} SELECT DISTINCT y FROM (SELECT y FROM t WHERE x = 7 UNION SELECT 7)")
+@query(f"{CLOSURE} SELECT DISTINCT y FROM (SELECT y FROM t WHERE x = 28 UNION SELECT 28)")
 def path_star_from_constant(spark, sf_dir):
-    return P.match(_sparse(spark, sf_dir), subject_const("v", 7), P.Star(STEP), y).df.select(_vertex("y"))
+    return P.match(_sparse(spark, sf_dir), subject_const("v", 28), P.Star(STEP), y).df.select(_vertex("y"))
 
 
 def subject_const(table: str, number: int) -> T.Const:
@@ -835,7 +855,110 @@ def bisect(spark, sf_dir):
 
 @query("SELECT 'c' || (o_orderkey % 5) AS commit, 1::TINYINT AS op, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'c' || (o_orderkey % 5 + 1), -1::TINYINT, count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 < 4 GROUP BY ALL")
 def change_feed(spark, sf_dir):
-    return history(spark, sf_dir).groupBy("commit", "op").agg(F.count("*").alias("n"))
+    """Commits of a repository read as a stream: batches are counted as they come, and the counts are added up."""
+    repo, names = _committed(spark, sf_dir)
+    counts = f"{repo.root}/counts"
+
+    def count(batch: DataFrame, number: int) -> None:
+        batch.groupBy("commit", "op").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    changes.sink(changes.change_feed(spark, repo), count, f"{repo.root}/stream").awaitTermination()
+    seen = spark.read.parquet(counts).groupBy("commit", "op").agg(F.sum("n").cast("bigint").alias("n"))
+    return seen.join(F.broadcast(names), seen["commit"] == names["id"]).select(F.col("name").alias("commit"), "op", "n")
+
+
+def _repository(spark) -> Repository:
+    """An empty repository in the session's shared folder."""
+    return Repository(spark, f"{shared_folder(spark)}/repository-{uuid.uuid4().hex}")
+
+
+def _committed(spark, sf_dir) -> tuple[Repository, DataFrame]:
+    """The history as commits of ``main``, and their names."""
+    repo, names = _repository(spark), []
+    log = history(spark, sf_dir)
+    for name in CHAIN:
+        id_ = repo.write("main", log.where(F.col("commit") == name).select("op", "s", "p", "o", "g"), message=name)
+        names.append((id_, name))
+    return repo, spark.createDataFrame(names, "id string, name string")
+
+
+LIVE = "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 4 OR o_orderstatus <> 'F'"
+
+
+@query(f"SELECT o_orderkey AS o FROM ({LIVE})")
+def repository_head(spark, sf_dir):
+    """Five commits, and the branch's quads at the last."""
+    repo, _ = _committed(spark, sf_dir)
+    return repo.head("main").select(key("s").alias("o"))
+
+
+@query("SELECT 'c' || i AS message, i AS seq, least(i, 1) AS parents FROM range(5) t(i)")
+def repository_log(spark, sf_dir):
+    repo, _ = _committed(spark, sf_dir)
+    return repo.log("main").select("message", "seq", F.size("parents").cast("bigint").alias("parents"))
+
+
+def _merged(spark, sf_dir, how: str) -> Repository:
+    """A base of even orders; one branch adds multiples of three, the other removes multiples of four and adds multiples of five."""
+    repo = _repository(spark)
+    delta = lambda op, condition: status(spark, sf_dir, condition).select(F.lit(op).cast("tinyint").alias("op"), "s", "p", "o", "g")
+    repo.write("main", delta(1, "o_orderkey % 2 = 0"), message="base")
+    repo.branch("side", "main")
+    repo.write("main", delta(1, "o_orderkey % 2 = 1 and o_orderkey % 3 = 0"), message="ours")
+    repo.write("side", delta(-1, "o_orderkey % 4 = 0").unionByName(delta(1, "o_orderkey % 2 = 1 and o_orderkey % 5 = 0")), message="theirs")
+    repo.merge("main", "side", how=how)
+    return repo
+
+
+@query("SELECT o_orderkey AS o FROM orders WHERE o_orderkey % 4 = 2 OR o_orderkey % 2 = 1 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)")
+def repository_merge(spark, sf_dir):
+    return _merged(spark, sf_dir, "three_way").head("main").select(key("s").alias("o"))
+
+
+@query("SELECT o_orderkey AS o FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def repository_merge_union(spark, sf_dir):
+    return _merged(spark, sf_dir, "union").head("main").select(key("s").alias("o"))
+
+
+@query("SELECT 'base' AS base, true AS merged, 2::BIGINT AS parents, 4::BIGINT AS commits")
+def repository_merge_base(spark, sf_dir):
+    repo = _merged(spark, sf_dir, "three_way")
+    tip = repo.commit(repo.resolve("main"))
+    base = repo.commit(repo.merge_base(tip.parents[0], "side")).message
+    return spark.createDataFrame([(base, repo.is_ancestor("side", "main"), len(tip.parents), len(repo.ancestors(tip.id)))], "base string, merged boolean, parents long, commits long")
+
+
+@query(f"SELECT repo, o_orderkey AS o FROM ({LIVE}), (VALUES ('clone'), ('pushed')) t(repo)")
+def repository_sync(spark, sf_dir):
+    """A clone's head, and that of an empty repository after a push."""
+    repo, _ = _committed(spark, sf_dir)
+    copy, other = clone(spark, repo, f"{repo.root}-clone"), _repository(spark)
+    repo.push(other, "main")
+    return reduce(DataFrame.unionByName, [r.head("main").select(F.lit(name).alias("repo"), key("s").alias("o")) for name, r in (("clone", copy), ("pushed", other))])
+
+
+@query(f"SELECT o_orderkey AS o, 3::BIGINT AS gone FROM ({LIVE}) WHERE o_orderkey % 5 < 2 UNION ALL SELECT o_orderkey, 3 FROM orders WHERE o_orderkey % 5 = 1 AND o_orderstatus = 'F'")
+def repository_vacuum(spark, sf_dir):
+    """After a revert to the second commit, the three later ones go, and nothing of its state does."""
+    repo, _ = _committed(spark, sf_dir)
+    repo.revert("main", repo.chain("main")[1])
+    gone = repo.vacuum(age=0)
+    return repo.head("main").select(key("s").alias("o"), F.lit(len(gone)).cast("bigint").alias("gone"))
+
+
+@query("SELECT o_orderpriority AS prio, sum(DISTINCT o_custkey)::BIGINT AS total, round(avg(DISTINCT o_custkey), 6) AS mean, count(*) AS n FROM orders GROUP BY 1")
+def sum_avg_distinct(spark, sf_dir):
+    """Of distinct terms, beside an aggregate of all rows."""
+    m = _orders(spark, sf_dir).bind("k", T.integer(key("c"))).group("v", t=A.sum_("k", distinct=True), m=A.avg("k", distinct=True), n=A.count())
+    return m.df.select(lex("v").alias("prio"), whole("t").alias("total"), num("m", 6).alias("mean"), whole("n").alias("n"))
+
+
+@query("SELECT n AS terms, n AS ids, n AS first_halves FROM (SELECT 2 * (SELECT count(*) FROM customer) + count(*) + count(DISTINCT n_name) AS n FROM nation)")
+def term_ids(spark, sf_dir):
+    """No two terms have one id; nor, in these tables, one half of an id."""
+    quads = lift(spark, sf_dir, "customer.c_custkey", "nation.n_name").select(F.explode(F.array("s", "o")).alias("t"))
+    each = quads.select("t.id", F.struct("t.kind", "t.lex", "t.dt", "t.lang").alias("term"))
+    return each.agg(*[F.count_distinct(c).alias(n) for c, n in ((F.col("term"), "terms"), (F.col("id"), "ids"), (F.col("id.a"), "first_halves"))])
 
 
 # canonicalization, RDF-star and formats ----------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 A row's subject is ``urn:t:<table>/<key>``, a column's predicate
 ``urn:t:<table>#<column>``; foreign keys become the referenced row's IRI, other
-values typed literals.  Each column is a branch whose predicate is a constant,
+values typed literals.  A table without a key that is read from files has a
+row's file and place there as its key.  Each column is a branch whose predicate is a constant,
 so a pattern with a constant predicate prunes all branches but one and reads
 that column and the key alone.
 """
@@ -24,7 +25,12 @@ REFERENCES = {"n_regionkey": "region", "c_nationkey": "nation", "s_nationkey": "
 
 
 def subject(table: str, *keys: Column) -> T.Term:
-    return T.iri(F.concat(F.lit(f"urn:t:{table}/"), *[k.cast("string") for k in keys]))
+    """A row's IRI; parts of a key of several columns are escaped and joined by a slash, so that no two keys run together."""
+    parts = [k.cast("string") for k in keys]
+    if len(parts) > 1:
+        parts = [F.replace(F.replace(x, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")) for x in parts]
+        parts = [x for i, k in enumerate(parts) for x in ((F.lit("/"), k) if i else (k,))]
+    return T.iri(F.concat(F.lit(f"urn:t:{table}/"), *parts))
 
 
 def predicate(table: str, column: str) -> T.Const:
@@ -50,7 +56,7 @@ def value(c: Column, kind: S.DataType) -> T.Term:
 def lift_table(df: DataFrame, table: str, *, columns: list[str] | None = None, keys: list[str] | None = None, graph: Column | None = None) -> DataFrame:
     """Quads of one table; NULLs give none.  A table without a key has a 128-bit hash of whole rows as subject."""
     keys = keys or KEYS.get(table)
-    s = subject(table, *[F.col(k) for k in keys]) if keys else subject(table, *[F.hex(F.xxhash64(F.lit(i), *df.columns)) for i in (1, 2)])
+    s = subject(table, *[F.col(k) for k in keys]) if keys else subject(table, *[F.lpad(F.hex(F.xxhash64(F.lit(i), *df.columns)), 16, "0") for i in (1, 2)])
     g = DEFAULT.column() if graph is None else graph
     types = {f.name: f.dataType for f in df.schema}
     parts = []
@@ -66,7 +72,16 @@ def lift(spark: SparkSession, sf_dir: str, *columns: str, tables: dict[str, Data
     for c in columns:
         table, column = c.split(".")
         by_table.setdefault(table, []).append(column)
-    return reduce(DataFrame.union, [lift_table((tables or {}).get(t) or spark.read.parquet(f"{sf_dir}/{t}.parquet"), t, columns=cs) for t, cs in by_table.items()])
+    parts = []
+    for t, cs in by_table.items():
+        df, keys = (tables or {}).get(t), KEYS.get(t)
+        if df is None:
+            df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            if keys is None:
+                # a row's file and place in it: neither reads another column
+                df, keys = df.select("*", F.hex(F.xxhash64("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row")), ["_file", "_row"]
+        parts.append(lift_table(df, t, columns=cs, keys=keys))
+    return reduce(DataFrame.union, parts)
 
 
 def edges(df: DataFrame, p: str = "urn:e") -> DataFrame:

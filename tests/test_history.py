@@ -86,7 +86,7 @@ def test_sync_and_vacuum(repo, spark, tmp_path):
         copy.push(repo, "main")
     copy.pull(repo, "main")
     assert ("eve", "New", "") in content(copy.head("main"))
-    assert len(repo.vacuum()) == 2 and content(repo.head("main"))
+    assert len(repo.vacuum(age=0)) == 2 and content(repo.head("main"))
 
 
 def test_change_feed(repo, spark, tmp_path):
