@@ -21,13 +21,13 @@ from .shared import cut
 #: Pieces that one task packs at once.
 GROUP_ROWS = 40_000
 #: Fewest groups of id matrices, so that they spread over a cluster's tasks.
-LEAST_GROUPS = 48
+LEAST_GROUPS = 16
 #: Most rounds of exchange between groups whose bound leaves a gap.
 ROUNDS = 6
 #: Bits of a sequence's number inside its group.
 BIN_BITS = 20
 #: Token ids that a task holds while it writes matrices.
-GROUP_TOKENS = 6_000_000
+GROUP_TOKENS = 2_000_000
 #: Rounded sizes k of the dual feasible functions u(k).
 ROUNDED = range(1, 33)
 
