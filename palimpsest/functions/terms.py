@@ -37,6 +37,7 @@ class Term:
     def __init__(self, kind: Column, lex: Column, dt: Column, lang: Column, id_: Column | None = None, exact: Column | None = None, wide: Column | None = None, rank_: Column | None = None):
         self.kind, self.lex, self.dt, self.lang = kind, lex, dt, lang
         self._id, self.exact, self.wide, self.rank = id_, exact, wide, rank_
+        self.whole: Column | None = None  # the struct, where there is one
 
     @property
     def id(self) -> Column:
@@ -55,7 +56,7 @@ class Term:
 
     def column(self) -> Column:
         """The struct; NULL where the lexical form is."""
-        return F.when(self.lex.isNotNull(), self.struct())
+        return self.whole if self.whole is not None else F.when(self.lex.isNotNull(), self.struct())
 
     def alias(self, name: str) -> Column:
         return self.column().alias(name)
@@ -104,7 +105,9 @@ def as_term(x) -> Term:
     if isinstance(x, Const):
         return constant_number(x) if x.kind == LITERAL and x.datatype in (*INTEGERS, DECIMAL, DOUBLE) and re.fullmatch(r"[+-]?[0-9]+(\.[0-9]+)?", x.value) else x.term()
     x = F.col(x) if isinstance(x, str) else x
-    return Term(x["kind"], x["lex"], x["dt"], x["lang"], x["id"])
+    t = Term(x["kind"], x["lex"], x["dt"], x["lang"], x["id"])
+    t.whole = x
+    return t
 
 
 def on_terms(f):
@@ -721,13 +724,72 @@ def ntriples(t) -> Column:
     )
 
 
+def _once(c: Column, f) -> Column:
+    """``f(c)``, where ``f`` names its argument many times and ``c`` is to be there once."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def numeric_escapes(line: Column) -> Column:
+    """A line of N-Triples with ``\\uXXXX`` and ``\\UXXXXXXXX`` as characters; those that a string can't hold as such become short escapes."""
+
+    def decoded(x: Column, mark: str, charset: str) -> Column:
+        return F.when(x.startswith(mark), F.coalesce(F.decode(F.unhex(F.replace(x, F.lit(mark), F.lit(""))), charset), x)).otherwise(x)
+
+    def whole(x: Column) -> Column:
+        x = F.replace(x, F.lit("\\\\"), F.lit("\u0000"))
+        for code, short in (("22", '\\"'), ("5[Cc]", "\u0000"), ("0[Aa]", "\\n"), ("0[Dd]", "\\r")):
+            x = F.regexp_replace(x, rf"\\(?:u00|U000000){code}", short.replace("\\", "\\\\"))
+        for letter, digits, charset in (("U", 8, "UTF-32"), ("u", 4, "UTF-16BE")):
+            # a run of escapes is decoded as a whole, as two of them may be one character's halves
+            pieces = F.split(F.regexp_replace(x, rf"((?:\\{letter}[0-9A-Fa-f]{{{digits}}})+)", "\u0001$1\u0001"), "\u0001")
+            x = F.array_join(F.transform(pieces, lambda y: decoded(y, f"\\{letter}", charset)), "")  # noqa: B023
+        return F.replace(x, F.lit("\u0000"), F.lit("\\\\"))
+
+    return F.when(line.rlike(r"\\[uU]"), whole(line)).otherwise(line)
+
+
 def parse_ntriples(c: Column) -> Term:
-    """A term from its N-Triples form; NULL if it has none.  Numeric escapes stay as written."""
+    """A term from its N-Triples form, without numeric escapes; NULL if it has none."""
     body = F.regexp_extract(c, r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$', 1)
     dt = F.regexp_extract(c, r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$', 2)
     tag = F.regexp_extract(c, r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$', 3)
-    for a, b in (("\\\\", "\u0000"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\u0000", "\\")):
+    for a, b in (("\\\\", "\u0000"), ('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
         body = F.replace(body, F.lit(a), F.lit(b))
+    body = F.replace(body, F.lit("\u0000"), F.lit("\\"))
     tagged = choose(tag != "", lang_literal(body, tag), literal(body, F.when(dt != "", dt).otherwise(F.lit(STRING))))
     other = choose(c.startswith("_:"), bnode(F.substring(c, F.lit(3), F.length(c))), choose(c.startswith('"'), tagged))
     return choose(c.startswith("<<"), make(TRIPLE, c), choose(c.startswith("<"), iri(F.substring(c, F.lit(2), F.length(c) - 2)), other))
+
+
+#: How deep quoted triples may be nested for their parts to be told.
+NESTED = 4
+
+
+def _quoted_pattern() -> str:
+    """A quoted triple's N-Triples form, its parts as groups; terms inside are nested up to ``NESTED`` deep."""
+    plain = r'<[^<>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?'
+    term = plain
+    for _ in range(NESTED - 1):
+        term = rf"{plain}|<<\s*(?:{term})\s+<[^<>]*>\s+(?:{term})\s*>>"
+    return rf"(?s)^<<\s*({term})\s+(<[^<>]*>)\s+({term})\s*>>$"
+
+
+def _part_of_triple(t: Term, group: int) -> Term:
+    text = F.regexp_extract(F.when(t.kind == TRIPLE, t.lex), _quoted_pattern(), group)
+    return as_term(_once(text, lambda x: parse_ntriples(x).column()))
+
+
+@on_terms
+def subject(t) -> Term:
+    """SPARQL-star ``SUBJECT``; NULL for terms that are no quoted triple, or nested more than ``NESTED`` deep."""
+    return _part_of_triple(t, 1)
+
+
+@on_terms
+def predicate(t) -> Term:
+    return _part_of_triple(t, 2)
+
+
+@on_terms
+def object_(t) -> Term:
+    return _part_of_triple(t, 3)

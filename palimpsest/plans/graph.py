@@ -288,11 +288,19 @@ class Graph:
                     first[x.name] = column
         return Solutions(df.select(*[F.col(c).alias(v) for v, c in first.items()]))
 
-    def bgp(self, *patterns: tuple, graph: T.Const | Var | None = None) -> Solutions:
+    def bgp(self, *patterns: tuple, graph: T.Const | Var | None = None, given: dict[str, T.Const] | None = None) -> Solutions:
         """A basic graph pattern.  Joins follow shared variables, patterns with more constants first.
 
         A pattern of constants alone is an existence test of the whole.
+        ``given`` are variables with preset values: scans see constants in their
+        place, and the solutions have them.
         """
+        if given:
+            preset = lambda t: given.get(t.name, t) if isinstance(t, Var) else t
+            found = self.bgp(*[tuple(preset(t) for t in one) for one in patterns], graph=preset(graph))
+            named = [x.name for one in (*patterns, (graph,)) for x in one if isinstance(x, Var)]
+            cells = [given[v].column().alias(v) for v in given if v in named]
+            return Solutions(found.df.select("*", *cells), found.maybe)
         waiting = list(patterns)
         bound = lambda p: {x.name for x in p if isinstance(x, Var)}
         tests = [p for p in waiting if not bound(p) and not isinstance(graph, Var)]
@@ -322,6 +330,12 @@ class Graph:
         keys = [F.col(f"w.{c}")["id"] == F.col(f"q.{c}")["id"] for c in "spog"]
         return wanted.alias("w").join(self.quads.alias("q"), keys, "left_semi")
 
+    def quoted_triples(self, s: T.Const | None = None, p: T.Const | None = None, o: T.Const | None = None) -> DataFrame:
+        """Distinct quoted triples ``t`` that are a subject or an object, and their parts; constants limit the parts."""
+        ends = self.triples().select(F.explode(F.array("s", "o")).alias("t")).where(F.col("t")["kind"] == T.TRIPLE)
+        parts = distinct_quads(ends).select("t", *[part(F.col("t")).alias(c) for c, part in (("s", T.subject), ("p", T.predicate), ("o", T.object_))])
+        return parts.where(_constants(s, p, o))
+
     def describe(self, resources: Solutions, name: str) -> DataFrame:
         """Triples whose subject is a resource, and those of the blank nodes that these lead to."""
         triples = self.triples()

@@ -22,7 +22,7 @@ def read_nquads(spark: SparkSession, path: str, *, scope: str = "", graph: T.Con
 
 def parse_lines(lines: DataFrame, *, scope: str = "", graph: T.Const | None = None) -> DataFrame:
     """The same for lines in a column ``value``."""
-    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select(T.numeric_escapes(F.col("value")).alias("value"))
 
     def part(n: int) -> T.Term:
         return T.parse_ntriples(F.regexp_extract("value", _LINE, n))
