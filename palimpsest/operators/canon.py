@@ -1,15 +1,18 @@
 """Blank-node canonicalization: hashes by aggregation, components by label spreading, ties inside a component.
 
-Blank nodes whose first-degree hashes differ need nothing more.  The rest is
-settled component by component (components of blank nodes that share a quad), so
-no task sees more than one component; labels carry the component's content
-hash, so that they depend on content alone and need no global numbering.
+Hashes are refined by joins, each round with those of the neighbours.  A
+component (blank nodes that share quads) whose hashes all differ is settled
+then, whatever its size; only components that still have ties go to a search over
+permutations, a component a task and bounded in size, permutations and time.  Labels
+carry the component's content hash, so that they depend on content alone and
+need no global numbering.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import time
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +23,12 @@ from ..plans.graph import cut, distinct_quads
 
 #: Permutations that a component's ties may take before it fails as too symmetric.
 BUDGET = 20_000
+#: Seconds that a component's search may take.
+SECONDS = 60.0
+#: Mentions of blank nodes in a component with ties; a larger one fails before any task gets it.
+MOST_MENTIONS = 1_000_000
+#: Parts in which equal components are numbered.
+SALTS = 256
 
 
 class BudgetExceeded(Exception):
@@ -42,11 +51,12 @@ def _mentions(quads: DataFrame) -> DataFrame:
 
 
 def first_degree(quads: DataFrame) -> DataFrame:
-    """``b, hash``: SHA-256 of the sorted quads that mention a blank node, it written ``_:a`` and others ``_:z``."""
+    """``b, hash``: SHA-256 of the sorted quads that mention a blank node, it written ``_:a`` and others ``_:z``; also of mentions."""
     own = lambda c: F.when(F.col(c) == F.concat(F.lit("_:"), F.col("b")), F.lit("_:a")).when(F.col(c).startswith("_:"), F.lit("_:z")).otherwise(F.col(c))
     line = F.concat_ws(" ", own("ts"), F.col("tp"), own("to"), F.when(F.col("tg") != "", own("tg")), F.lit("."))
     text = F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n"))
-    return _mentions(quads).select("b", line.alias("line")).groupBy("b").agg(F.sha2(text, 256).alias("hash"))
+    mentions = quads if "ts" in quads.columns else _mentions(quads)
+    return mentions.select("b", line.alias("line")).groupBy("b").agg(F.sha2(text, 256).alias("hash"))
 
 
 def _neighbours(quads: DataFrame) -> DataFrame:
@@ -89,8 +99,8 @@ def _digest(text: str) -> str:
 class _Component:
     """The quads of one component, as tuples of N-Triples parts (s, p, o, g)."""
 
-    def __init__(self, quads: list[tuple], budget: int):
-        self.quads, self.left = quads, budget
+    def __init__(self, quads: list[tuple], budget: int, seconds: float = SECONDS):
+        self.quads, self.left, self.end = quads, budget, time.monotonic() + seconds
         self.of: dict[str, list[tuple]] = {}
         for q in quads:
             for x in {x for i, x in enumerate(q) if i != 1 and x.startswith("_:")}:
@@ -120,7 +130,7 @@ class _Component:
             best, names = None, issued
             for order in sorted(set(itertools.permutations(sorted(set(related[key]))))):
                 self.left -= 1
-                if self.left < 0:
+                if self.left < 0 or time.monotonic() > self.end:
                     raise BudgetExceeded(f"a component of {len(self.of)} blank nodes")
                 copy, path, todo = dict(issued), "", []
                 for x in order:
@@ -162,9 +172,9 @@ class _Component:
         return canonical
 
 
-def _solve(budget: int):
+def _solve(budget: int, seconds: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = _Component(list(pdf[["ts", "tp", "to", "tg"]].drop_duplicates().itertuples(index=False, name=None)), budget)
+        c = _Component(list(pdf[["ts", "tp", "to", "tg"]].drop_duplicates().itertuples(index=False, name=None)), budget, seconds)
         names = c.labels()
         content = _digest("\n".join(sorted(c.line(q, lambda x: names[x]) for q in c.quads)))
         return pd.DataFrame({"component": pdf["component"].iloc[0], "b": [b[2:] for b in names], "local": [n[2:] for n in names.values()], "content": content})
@@ -172,13 +182,78 @@ def _solve(budget: int):
     return run
 
 
-def labels(quads: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``b, label``: canonical labels; equal components are told apart by a number that their content doesn't depend on."""
-    parts = components(quads)
-    rows = _mentions(quads).join(parts, "b").select("component", "ts", "tp", "to", "tg").distinct()
-    solved = cut(rows.groupBy("component").applyInPandas(_solve(budget), "component string, b string, local string, content string"))
-    same = solved.select("component", "content").distinct().withColumn("copy", F.row_number().over(Window.partitionBy("content").orderBy("component")) - 1)
-    return solved.join(same.select("component", "copy"), "component").select("b", F.concat_ws("_", F.lit("c14n"), F.substring("content", 1, 24), "copy", "local").alias("label"))
+def _settled(hashes: DataFrame) -> DataFrame:
+    """``component, settled``: whether all hashes ``component, b, hash`` of a component differ."""
+    each = hashes.groupBy("component", "hash").agg(F.count("*").alias("n"))
+    return each.groupBy("component").agg((F.max("n") == 1).alias("settled"), F.count("*").alias("kinds"))
+
+
+def refined(rows: DataFrame) -> DataFrame:
+    """``component, b, hash, settled``: first-degree hashes, refined until a component has no ties or a round finds nothing new.
+
+    ``rows`` are mentions with their component.  A round joins each mention with the hashes of the other
+    blank nodes in its quad; only components that the last round made finer take part in the next.
+    """
+    parts = rows.select("component", "b").distinct()
+    hashes = parts.join(first_degree(rows), "b").select("component", "b", "hash")
+    hashes = cut(hashes.join(_settled(hashes), "component"))
+    done = None
+    while True:
+        # a component settled, or no finer than the round before, is ready
+        ready = hashes.where("settled" if "before" not in hashes.columns else "settled or kinds <= before").select("component", "b", "hash", "settled")
+        done = ready if done is None else done.unionByName(ready)
+        todo = hashes.join(ready.select("component").distinct(), "component", "left_anti").select("component", "b", "hash", "kinds")
+        if todo.isEmpty():
+            return done
+        near = rows.join(todo.select("b"), "b", "left_semi")
+        for c in ("ts", "to", "tg"):
+            known = todo.select(F.concat(F.lit("_:"), "b").alias(c), F.col("hash").alias(f"{c}_hash"))
+            near = near.join(known, c, "left")
+        shown = lambda c: F.when(F.col(c) == F.concat(F.lit("_:"), F.col("b")), F.lit("_:a")).otherwise(F.coalesce(f"{c}_hash", c))
+        line = F.concat_ws(" ", shown("ts"), "tp", shown("to"), shown("tg"))
+        about = near.groupBy("b").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+        after = todo.join(about, "b").select("component", "b", F.sha2(F.concat_ws("\n", "hash", "lines"), 256).alias("hash"), F.col("kinds").alias("before"))
+        hashes = cut(after.join(_settled(after), "component"))
+
+
+def _settled_labels(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Labels of settled components: a node's hash, and its component's content as the sum of its lines' hashes."""
+    names = hashes.select("component", "b", F.substring("hash", 1, 32).alias("local"))
+    lines = rows.join(hashes.select("component").distinct(), "component", "left_semi").select("component", "ts", "tp", "to", "tg").distinct()
+    for c in ("ts", "to", "tg"):
+        lines = lines.join(names.select(F.concat(F.lit("_:"), "b").alias(c), F.concat(F.lit("_:"), "local").alias(f"{c}_name")), c, "left")
+    digest = F.sha2(F.concat_ws(" ", *[F.coalesce(f"{c}_name", c) if c != "tp" else c for c in ("ts", "tp", "to", "tg")]), 256)
+    part = lambda i: F.sum(F.conv(F.substring(digest, i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    content = lines.groupBy("component").agg(F.sha2(F.concat_ws(" ", part(1), part(16), F.count("*").cast("string")), 256).alias("content"))
+    return names.join(content, "component")
+
+
+def _copies(content: DataFrame) -> DataFrame:
+    """``component, copy``: components of one content numbered from 0, in parts so that no task gets all of a frequent one."""
+    salted = content.withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(SALTS)))
+    sizes = salted.groupBy("content", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("content").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("content", "salt").orderBy("component"))
+    numbered = salted.withColumn("own", own).join(sizes.select("content", "salt", before.alias("before")), ["content", "salt"])
+    return numbered.select("component", (F.col("before") + F.col("own") - 1).alias("copy"))
+
+
+def labels(quads: DataFrame, budget: int = BUDGET, seconds: float = SECONDS) -> DataFrame:
+    """``b, label``: canonical labels; equal components are told apart by a number that their content doesn't depend on.
+
+    Raises ``BudgetExceeded`` for a component with ties of more than ``MOST_MENTIONS`` mentions; one whose search takes more
+    than ``budget`` permutations or ``seconds`` fails its task.
+    """
+    rows = cut(_mentions(quads).distinct().join(components(quads), "b"))
+    hashes = cut(refined(rows))
+    tied = rows.join(hashes.where("not settled").select("component").distinct(), "component", "left_semi")
+    large = tied.groupBy("component").count().where(F.col("count") > MOST_MENTIONS).head(1)
+    if large:
+        raise BudgetExceeded(f"the component of {large[0]['component']} has ties and {large[0]['count']} mentions")
+    searched = tied.select("component", "ts", "tp", "to", "tg").distinct().groupBy("component").applyInPandas(_solve(budget, seconds), "component string, b string, local string, content string")
+    solved = cut(_settled_labels(rows, hashes.where("settled")).select("component", "b", "local", "content").unionByName(searched))
+    copies = _copies(solved.select("component", "content").distinct())
+    return solved.join(copies, "component").select("b", F.concat_ws("_", F.lit("c14n"), F.substring("content", 1, 24), "copy", "local").alias("label"))
 
 
 def canonicalize(quads: DataFrame, budget: int = BUDGET) -> DataFrame:
