@@ -7,17 +7,21 @@ are each one aggregation or a few joins on ids, whatever the history's length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.update import QUAD, signed, subtract
 from ..plans.graph import distinct_quads
 
 
-def sequence(chain: list[str]) -> Column:
-    """A commit's place in the chain, from 0; NULL outside of it."""
-    numbered = F.map_from_arrays(F.array(*[F.lit(c) for c in chain]), F.array(*[F.lit(i) for i in range(len(chain))])) if chain else None
-    return F.lit(None).cast("int") if numbered is None else F.try_element_at(numbered, F.col("commit"))
+#: Commits up to which a chain's numbers go to every task; of more, they are joined by a shuffle.
+BROADCAST_COMMITS = 50_000
+
+
+def numbered(deltas: DataFrame, chain: list[str]) -> DataFrame:
+    """The deltas of a chain's commits with their place in it, from 0."""
+    places = deltas.sparkSession.createDataFrame(list(zip(chain, range(len(chain)))), "commit string, seq int")
+    return deltas.join(F.broadcast(places) if len(chain) <= BROADCAST_COMMITS else places, "commit")
 
 
 def _by_quad(df: DataFrame):
@@ -26,7 +30,7 @@ def _by_quad(df: DataFrame):
 
 def snapshot(deltas: DataFrame, chain: list[str]) -> DataFrame:
     """The state after a chain of commits: each quad's last operation, if that is an insert."""
-    own = deltas.withColumn("seq", sequence(chain)).where("seq is not null")
+    own = numbered(deltas, chain)
     last = _by_quad(own).agg(F.max_by("op", "seq").alias("op"), *[F.first(c).alias(c) for c in QUAD])
     return last.where("op = 1").select(*QUAD)
 
@@ -54,7 +58,7 @@ def squash(base: DataFrame, target: DataFrame, source: DataFrame) -> DataFrame:
 
 def blame(deltas: DataFrame, chain: list[str]) -> DataFrame:
     """For each quad ever there, the first commit whose snapshot has it."""
-    own = deltas.withColumn("seq", sequence(chain)).where("seq is not null and op = 1")
+    own = numbered(deltas.where("op = 1"), chain)
     return _by_quad(own).agg(*[F.first(c).alias(c) for c in QUAD], F.min_by("commit", "seq").alias("commit"), F.min("seq").alias("seq")).select(*QUAD, "commit", "seq")
 
 

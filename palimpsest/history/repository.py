@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..operators import canon
 from ..operators.update import QUAD
+from ..plans.graph import DEFAULT, const_filter
 from . import algebra
 
 NAME = re.compile(r"[A-Za-z0-9_./-]{1,128}")
@@ -69,6 +71,21 @@ class Files:
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
+    def size(self, p: str) -> int:
+        return self.fs.getContentSummary(self.path(p)).getLength() if self.exists(p) else 0
+
+
+class TooLarge(Exception):
+    """What is to be fetched or pushed is beyond the limits; nothing was copied."""
+
+
+@dataclass(frozen=True)
+class SyncLimits:
+    """What one fetch or push may copy; None is no limit."""
+
+    commits: int | None = None
+    bytes: int | None = None
+
 
 @dataclass
 class Commit:
@@ -92,6 +109,7 @@ class Repository:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root.rstrip("/"))
         self._commits: dict[str, Commit] = {}  # commits never change
+        self.listeners: list = []  # called with a commit and its delta once the ref has moved
 
     # names
     def _check(self, name: str) -> str:
@@ -219,6 +237,15 @@ class Repository:
     def prefixes(self, at: str) -> dict:
         return self.commit(self.resolve(at)).prefixes
 
+    def namespaces(self, at: str) -> DataFrame:
+        """``prefix, name``."""
+        return self.spark.createDataFrame(sorted(self.prefixes(at).items()), "prefix string, name string")
+
+    def set_prefixes(self, branch: str, changes: dict[str, str | None], **about) -> str | None:
+        """Commits changed namespaces; a prefix with None goes."""
+        now = {**(self.prefixes(branch) if self.ref(branch) else {}), **changes}
+        return self.write(branch, self.spark.createDataFrame([], DELTA), prefixes={k: v for k, v in now.items() if v is not None}, **about)
+
     # writes
     def write(self, branch: str, delta: DataFrame, *, author: str = "", message: str = "", extra_parents: list[str] | None = None, prefixes: dict | None = None) -> str | None:
         """Commits a net delta; None if it is empty and nothing else changes (a first commit always counts)."""
@@ -248,8 +275,18 @@ class Repository:
         self.set_ref(branch, id_, version)
         if about.depth % CHECKPOINT_EVERY == 0:
             self.checkpoint(id_)
+        for tell in self.listeners:
+            tell(about, self.deltas([id_]).select("op", *QUAD))
         return id_
 
+    def write_canonical(self, branch: str, delta: DataFrame, **about) -> str | None:
+        """The same with canonical labels for the blank nodes of added quads; literals stay literals.
+
+        Removed quads name blank nodes as the repository has them.
+        """
+        added = canon.canonicalize(delta.where("op = 1").select(*QUAD)).select(F.lit(1).cast("tinyint").alias("op"), *QUAD)
+        return self.write(branch, added.unionByName(delta.where("op = -1").select("op", *QUAD)), **about)
+
     def checkpoint(self, at: str) -> None:
         id_ = self.resolve(at)
         if id_ not in self.files.names("checkpoints"):
@@ -304,10 +341,38 @@ class Repository:
         chain = self.chain(at)
         return algebra.first_seen(self.deltas(chain), chain, self.at(at))
 
+    def lookup(self, at: str, s: T.Const, p: T.Const, o: T.Const, g: T.Const = DEFAULT) -> DataFrame:
+        """Provenance of one quad at a commit: the commit of its first-parent chain that brought it; no row if it isn't there.
+
+        The constants go to the scans of the deltas before anything else.
+        """
+        chain = self.chain(at)
+        own = self.deltas(chain).where(const_filter("s", s) & const_filter("p", p) & const_filter("o", o) & const_filter("g", g))
+        return algebra.first_seen(own, chain, algebra.snapshot(own, chain)).select("commit")
+
     # other repositories
-    def _copy_commits(self, other: Repository, wanted: set[str], without: list[T.Const] | None = None) -> None:
+    def add_remote(self, name: str, root: str) -> None:
+        if not self.files.create(f"remotes/{self._check(name)}", json.dumps({"root": root})):
+            raise Conflict(f"remote {name} is there already")
+
+    def remotes(self) -> dict[str, str]:
+        return {n.replace("%2F", "/"): json.loads(self.files.read(f"remotes/{n}"))["root"] for n in self.files.names("remotes")}
+
+    def remove_remote(self, name: str) -> None:
+        self.files.delete(f"remotes/{self._check(name)}")
+
+    def remote(self, name: str) -> Repository:
+        return Repository(self.spark, self.remotes()[name])
+
+    def _copy_commits(self, other: Repository, wanted: set[str], without: list[T.Const] | None = None, limits: SyncLimits = SyncLimits()) -> None:
         """Copies commits that are missing here; distributed, data before metadata."""
         missing = [c for c in wanted if not self.files.exists(f"commits/{c}")]
+        if limits.commits is not None and len(missing) > limits.commits:
+            raise TooLarge(f"{len(missing)} commits")
+        if limits.bytes is not None:
+            size = sum(other.files.size(f"deltas/commit={c}") for c in missing)
+            if size > limits.bytes:
+                raise TooLarge(f"{size} bytes")
         if missing:
             df = other.deltas(missing)
             if without:
@@ -319,18 +384,18 @@ class Repository:
                     self.spark.createDataFrame([], DELTA).write.parquet(f"{self.root}/deltas/commit={c}")
                 self.files.create(f"commits/{c}", other.files.read(f"commits/{c}"))
 
-    def fetch(self, other: Repository, branch: str, remote: str = "origin") -> str:
+    def fetch(self, other: Repository, branch: str, remote: str = "origin", limits: SyncLimits = SyncLimits()) -> str:
         tip = other.resolve(branch)
-        self._copy_commits(other, other.ancestors(tip))
+        self._copy_commits(other, other.ancestors(tip), limits=limits)
         self.set_ref(f"{remote}/{branch}", tip)
         return tip
 
-    def push(self, other: Repository, branch: str, *, force: bool = False, without: list[T.Const] | None = None) -> None:
+    def push(self, other: Repository, branch: str, *, force: bool = False, without: list[T.Const] | None = None, limits: SyncLimits = SyncLimits()) -> None:
         """Fast-forward only, unless forced; commits first, the ref last."""
         tip, theirs, version = self.resolve(branch), other.ref(branch), other._version(branch)
         if theirs and not force and theirs not in self.ancestors(tip):
             raise Conflict(f"{branch} isn't a fast-forward")
-        other._copy_commits(self, self.ancestors(tip), without)
+        other._copy_commits(self, self.ancestors(tip), without, limits)
         other.set_ref(branch, tip, version)
 
     def pull(self, other: Repository, branch: str) -> str | None:
@@ -371,4 +436,4 @@ def clone(spark: SparkSession, source: Repository, root: str) -> Repository:
     return out
 
 
-__all__ = ["Commit", "Conflict", "Repository", "clone", "commit_id"]
+__all__ = ["Commit", "Conflict", "Repository", "SyncLimits", "TooLarge", "clone", "commit_id"]

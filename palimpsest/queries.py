@@ -17,7 +17,7 @@ from .operators import aggregates as A
 from .operators import canon, update
 from .operators import paths as P
 from .plans.graph import DEFAULT, Graph, Solutions, Var, shared_folder, values
-from .sources import rdf
+from .sources import rdf, turtle
 from .sources.lift import edges, lift, lift_table, predicate
 from .streaming import changes
 
@@ -177,6 +177,12 @@ def bgp_all_const(spark, sf_dir):
     return m.df.select(lex("v").alias("name"))
 
 
+@query("SELECT c_custkey AS c, 3::BIGINT AS n, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 3")
+def preset_bindings(spark, sf_dir):
+    m = graph(spark, sf_dir, "customer.c_nationkey", "nation.n_name").bgp((c, p("customer.c_nationkey"), n), (n, p("nation.n_name"), v), given={"n": I("urn:t:nation/3")})
+    return m.df.select(key("c").alias("c"), key("n").alias("n"), lex("v").alias("name"))
+
+
 TRIANGLES = f"SELECT count(*) AS n FROM {G1} a JOIN {G1} b ON a.y = b.x JOIN {G1} c ON b.y = c.x AND c.y = a.x"
 
 
@@ -612,6 +618,18 @@ def path_star(spark, sf_dir):
     return P.match(_sparse(spark, sf_dir), x, P.Star(STEP), y).df.select(_vertex("x"), _vertex("y"))
 
 
+@query(f"SELECT v AS x FROM {NODES}")
+def path_star_same(spark, sf_dir):
+    """One variable at both ends: every vertex, once."""
+    return P.match(_sparse(spark, sf_dir), x, P.Star(STEP), x).df.select(_vertex("x"))
+
+
+@query(f"{CLOSURE} SELECT y FROM (SELECT x, y FROM t UNION SELECT v, v FROM {NODES})")
+def path_star_ends(spark, sf_dir):
+    """Ends alone, once for each start that leads to them."""
+    return P.match(_sparse(spark, sf_dir), x, P.Star(STEP), y).project("y").df.select(_vertex("y"))
+
+
 @query(f"{CLOSURE} SELECT DISTINCT y FROM (SELECT y FROM t WHERE x = 28 UNION SELECT 28)")
 def path_star_from_constant(spark, sf_dir):
     return P.match(_sparse(spark, sf_dir), subject_const("v", 28), P.Star(STEP), y).df.select(_vertex("y"))
@@ -749,6 +767,23 @@ def add_graph(spark, sf_dir):
     return counts_by_graph(update.apply(q, update.add(q, ASIA, EUROPE)))
 
 
+@query(f"SELECT g, count(*) AS n FROM (SELECT * FROM ({BY_REGION}) UNION ALL SELECT 'urn:g:EUROPE', -n_nationkey - 1 FROM nation) GROUP BY g")
+def load_graph(spark, sf_dir):
+    """LOAD of N-Triples lines INTO GRAPH, twice: the second changes nothing."""
+    q = region_graphs(spark, sf_dir)
+    data = rdf.parse_lines(rdf.to_nquads(lift(spark, sf_dir, "nation.n_name")))
+    once = update.apply(q, update.load(q, data, EUROPE))
+    return counts_by_graph(update.apply(once, update.load(once, data, EUROPE)))
+
+
+@query(f"SELECT g, count(*) AS n FROM ({BY_REGION}) WHERE g <> 'urn:g:ASIA' OR c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY g")
+def modify_using(spark, sf_dir):
+    """DELETE ... USING one graph: what other graphs say isn't seen, and only that graph's quads go."""
+    q, seg = region_graphs(spark, sf_dir), p("customer.c_mktsegment")
+    found = update.graph_of(q, default=[ASIA], merge=False).bgp((c, seg, L("BUILDING")))
+    return counts_by_graph(update.apply(q, update.modify(q, found, delete=[(c, seg, L("BUILDING"))], graph=ASIA)))
+
+
 @query("SELECT o_orderkey AS o, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AND o_orderkey % 5 = 0")
 def tx_fold(spark, sf_dir):
     """add even; remove multiples of 3; add even ones again, and odd multiples of 15."""
@@ -946,6 +981,52 @@ def repository_vacuum(spark, sf_dir):
     return repo.head("main").select(key("s").alias("o"), F.lit(len(gone)).cast("bigint").alias("gone"))
 
 
+@query("SELECT 'c' || (o_orderkey % 5) AS commit FROM orders WHERE o_orderkey = 7")
+def repository_lookup(spark, sf_dir):
+    """Which commit brought one quad; none for a quad that isn't there."""
+    repo, names = _committed(spark, sf_dir)
+    here = read(spark, sf_dir, "orders").where("o_orderkey = 7").select("o_orderstatus").collect()
+    wanted = I("urn:t:orders/7"), p("orders.o_orderstatus")
+    at = repo.chain("main")[2]  # order 7 came with it, and a later commit may remove it
+    found = [repo.lookup(at, *wanted, L(r.o_orderstatus)) for r in here] + [repo.lookup(at, *wanted, L("no status"))]
+    return reduce(DataFrame.unionByName, found).join(names, F.col("commit") == F.col("id")).select(F.col("name").alias("commit"))
+
+
+@query("SELECT * FROM (VALUES ('branch', 'main', 'c4'), ('branch', 'old', 'c1'), ('tag', 'v1', 'c2'), ('remote', 'backup', 'c4'), ('namespace', 's', 'urn:s#'), ('namespace', 't', 'urn:t:')) t(kind, name, target)")
+def repository_names(spark, sf_dir):
+    """Branches, tags, remotes (with the commit that was pushed there) and namespaces; removed ones are gone."""
+    repo, names = _committed(spark, sf_dir)
+    chain = repo.chain("main")
+    repo.branch("old", chain[1])
+    repo.branch("gone", chain[0])
+    repo.set_ref("gone", None)
+    repo.tag("v1", chain[2])
+    repo.tag("gone", chain[2])
+    repo.delete_tag("gone")
+    repo.add_remote("backup", f"{repo.root}-backup")
+    repo.add_remote("gone", f"{repo.root}-gone")
+    repo.remove_remote("gone")
+    repo.push(repo.remote("backup"), "main")
+    rows = [("branch", b, repo.ref(b)) for b in repo.branches()] + [("tag", t, i) for t, i in repo.tags().items()] + [("remote", r, repo.remote(r).ref("main")) for r in repo.remotes()]
+    repo.set_prefixes("old", {"s": "urn:s#", "t": "urn:old:", "u": "urn:u:"})
+    repo.set_prefixes("old", {"t": "urn:t:", "u": None})
+    spaces = repo.namespaces("old").select(F.lit("namespace").alias("kind"), F.col("prefix").alias("name"), F.col("name").alias("target"))
+    return spark.createDataFrame(rows, "kind string, name string, id string").join(names.withColumnRenamed("name", "target"), "id").select("kind", "name", "target").unionByName(spaces)
+
+
+@query("SELECT count(*) AS quads, count(DISTINCT n_name) AS names, 0::BIGINT AS again FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def repository_canonical(spark, sf_dir):
+    """Blank nodes committed with canonical labels: the same content under other labels is no change, and literals stay."""
+    repo, q = _repository(spark), bnodes(spark, sf_dir)
+    plus = lambda quads: quads.select(F.lit(1).cast("tinyint").alias("op"), "s", "p", "o", "g")
+    repo.write_canonical("main", plus(q))
+    other = q.withColumn("s", T.bnode(F.reverse(lex("s"))).column())
+    again = update.insert_data(repo.head("main"), canon.canonicalize(other))
+    head = repo.head("main")
+    seen = head.agg(F.count("*").alias("quads"), F.count_distinct(lex("o")).alias("names"))
+    return seen.select("*", F.lit(again.count()).cast("bigint").alias("again"))
+
+
 @query("SELECT o_orderpriority AS prio, sum(DISTINCT o_custkey)::BIGINT AS total, round(avg(DISTINCT o_custkey), 6) AS mean, count(*) AS n FROM orders GROUP BY 1")
 def sum_avg_distinct(spark, sf_dir):
     """Of distinct terms, beside an aggregate of all rows."""
@@ -975,22 +1056,63 @@ def canon_first_degree(spark, sf_dir):
     return canon.first_degree(bnodes(spark, sf_dir))
 
 
+def chained(spark, sf_dir, name: Callable[[Column], Column]) -> DataFrame:
+    """A blank node for each customer, in chains of ten; ``name`` makes a label of a key's text."""
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    term = lambda x: T.bnode(name(x.cast("string"))).column()
+    links = d.where("k % 10 <> 0").select(term(F.col("k")).alias("s"), I("urn:next").column().alias("p"), term(F.col("k") - 1).alias("o"), DEFAULT.column().alias("g"))
+    own = d.select(term(F.col("k")).alias("s"), I("urn:is").column().alias("p"), T.L("x").column().alias("o"), DEFAULT.column().alias("g"))
+    there = own.select(F.col("s").alias("there"))
+    return links.join(there, links.o["id"] == there.there["id"], "left_semi").unionByName(own)
+
+
 @query("SELECT 'b' || c_custkey AS b, min('b' || c_custkey) OVER (PARTITION BY c_custkey // 10) AS component FROM customer")
 def canon_components(spark, sf_dir):
     """Customers in chains of ten."""
-    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    name = lambda x: T.bnode(F.concat(F.lit("b"), x.cast("string"))).column()
-    links = d.where("k % 10 <> 0").select(name(F.col("k")).alias("s"), I("urn:next").column().alias("p"), name(F.col("k") - 1).alias("o"), DEFAULT.column().alias("g"))
-    own = d.select(name(F.col("k")).alias("s"), I("urn:is").column().alias("p"), T.L("x").column().alias("o"), DEFAULT.column().alias("g"))
-    there = own.select(F.col("s").alias("there"))
-    return canon.components(links.join(there, links.o["id"] == there.there["id"], "left_semi").unionByName(own))
+    return canon.components(chained(spark, sf_dir, lambda k: F.concat(F.lit("b"), k)))
 
 
-@query()
+@query(
+    "WITH h AS (SELECT n_nationkey, n_name, substr(sha256('_:a <urn:nation> \"' || n_name || '\" .' || chr(10)), 1, 32) AS local FROM nation), "
+    "d AS (SELECT *, sha256('_:' || local || ' <urn:nation> \"' || n_name || '\" ') AS d FROM h), "
+    "c AS (SELECT *, substr(sha256(('0x' || substr(d, 1, 15))::BIGINT || ' ' || ('0x' || substr(d, 16, 15))::BIGINT || ' 1'), 1, 24) AS content FROM d) "
+    "SELECT 'c14n_' || content || '_' || (row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1) || '_' || local AS s, n_name AS o FROM customer JOIN c ON c_nationkey = n_nationkey"
+)
 def canon_full(spark, sf_dir):
     return canon.canonicalize(bnodes(spark, sf_dir)).select(lex("s").alias("s"), lex("o").alias("o"))
 
 
+@query("SELECT count(*) + count(*) FILTER (WHERE c_custkey % 10 <> 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer)) AS quads, 0::BIGINT AS differing FROM customer")
+def canon_relabelled(spark, sf_dir):
+    """Canonical forms of linked blank nodes under two sets of labels: as many quads, and none that differs."""
+    one, other = (canon.canonicalize(chained(spark, sf_dir, name)) for name in (lambda k: F.concat(F.lit("b"), k), lambda k: F.concat(F.lit("x"), F.reverse(k))))
+    rows = one.select(F.lit(1).alias("quads"), F.lit(0).alias("differing")).unionByName(algebra.difference(one, other).select(F.lit(0).alias("quads"), F.lit(1).alias("differing")))
+    return rows.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("quads", "differing")])
+
+
+def nation_nodes(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "nation")
+    return d.select(T.bnode(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))).column().alias("s"), I("urn:name").column().alias("p"), T.literal(F.col("n_name")).column().alias("o"), DEFAULT.column().alias("g"))
+
+
+@query(
+    "WITH f AS (SELECT n_nationkey, count(s_suppkey) AS n, sha256('_:a <urn:name> \"' || n_name || '\" .' || chr(10) || repeat('_:z <urn:in> _:a .' || chr(10), count(s_suppkey))) AS h "
+    "FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name), o AS (SELECT sha256('_:a <urn:in> _:z .' || chr(10)) AS h) "
+    "SELECT 's' || s_suppkey AS b, sha256(o.h || f.h) AS hash FROM supplier JOIN f ON s_nationkey = n_nationkey, o UNION ALL SELECT 'n' || n_nationkey, sha256(f.h || repeat(o.h, n)) FROM f, o"
+)
+def canon_second_degree(spark, sf_dir):
+    """Suppliers' blank nodes are alike but for their nations'."""
+    node = lambda letter, c: T.bnode(F.concat(F.lit(letter), F.col(c).cast("string"))).column()
+    links = read(spark, sf_dir, "supplier").select(node("s", "s_suppkey").alias("s"), I("urn:in").column().alias("p"), node("n", "s_nationkey").alias("o"), DEFAULT.column().alias("g"))
+    return canon.second_degree(links.unionByName(nation_nodes(spark, sf_dir)))
+
+
+@query("SELECT 'first' AS method, 'n' || n_nationkey AS b, 'c14n_' || substr(sha256('_:a <urn:name> \"' || n_name || '\" .' || chr(10)), 1, 32) AS label FROM nation")
+def canon_cascade(spark, sf_dir):
+    method, labels = canon.cascade(nation_nodes(spark, sf_dir))
+    return labels.select(F.lit(method).alias("method"), "b", "label")
+
+
 @query("SELECT n_nationkey AS n, '<< <urn:t:nation/' || n_nationkey || '> <urn:t:nation#n_regionkey> <urn:t:region/' || n_regionkey || '> >>' AS stated FROM nation")
 def rdf_star(spark, sf_dir):
     """Quoted triples as subjects of statements about them."""
@@ -999,6 +1121,39 @@ def rdf_star(spark, sf_dir):
     return Graph(said.select("s", "p", "o", "g"), merge=False).bgp((x, I("urn:certainty"), v)).filter(T.is_triple(F.col("x"))).df.select(F.regexp_extract(lex("x"), r"nation/(\d+)", 1).cast("int").alias("n"), lex("x").alias("stated"))
 
 
+def _said(spark, sf_dir) -> DataFrame:
+    """Statements about quoted triples, some of them quoted inside others."""
+    q = lift(spark, sf_dir, "nation.n_regionkey", "nation.n_name")
+    inner = T.quoted(F.col("s"), F.col("p"), F.col("o"))
+    said = lambda t: q.select(t.column().alias("s"), I("urn:certainty").column().alias("p"), L(1).column().alias("o"), DEFAULT.column().alias("g"))
+    return said(inner).unionByName(said(T.quoted(inner, I("urn:by"), L("me >> .")))).unionByName(said(inner))
+
+
+@query("SELECT n_nationkey AS n, 'n_name' AS p, n_name AS o FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', 'urn:t:region/' || n_regionkey FROM nation")
+def rdf_star_parts(spark, sf_dir):
+    """The innermost subject, predicate and object of triples that are quoted in quoted ones."""
+    m = Graph(_said(spark, sf_dir)).bgp((x, I("urn:certainty"), v)).filter(T.is_triple(T.subject(T.Ref("x"))))
+    inner = T.subject(T.Ref("x"))
+    df = m.df.select(*[part(inner).column().alias(c) for c, part in (("s", T.subject), ("p", T.predicate), ("o", T.object_))])
+    return df.select(key("s").cast("int").alias("n"), F.substring_index(lex("p"), "#", -1).alias("p"), lex("o").alias("o"))
+
+
+@query("SELECT n_nationkey AS n, 'urn:t:region/' || n_regionkey AS o FROM nation")
+def rdf_star_enumeration(spark, sf_dir):
+    """The distinct quoted triples with a given predicate."""
+    return Graph(_said(spark, sf_dir)).quoted_triples(p=p("nation.n_regionkey")).select(key("s").cast("int").alias("n"), lex("o").alias("o"))
+
+
+@query("SELECT c_custkey AS c, n_name AS nation, c_acctbal AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def read_turtle(spark, sf_dir):
+    """A Turtle document for each customer: prefixes, property lists, a nested blank node and a number."""
+    d = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.format_string("PREFIX s: <urn:s#> # names\n<urn:t:customer/%d> a s:C ; s:in [ s:name '%s' ] ; s:bal %s .", "c_custkey", "n_name", F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    q = turtle.parse_documents(d.select(F.col("c_custkey").cast("string").alias("path"), text.alias("value")))
+    m = Graph(q, merge=False).bgp((c, I(T.RDF + "type"), I("urn:s#C")), (c, I("urn:s#in"), n), (n, I("urn:s#name"), v), (c, I("urn:s#bal"), w))
+    return m.df.select(key("c").alias("c"), lex("v").alias("nation"), lex("w").cast("double").alias("bal"))
+
+
 @query("SELECT '<urn:t:nation/' || n_nationkey || '> <urn:t:nation#n_name> \"' || n_name || '\" .' AS value FROM nation")
 def write_nquads(spark, sf_dir):
     return rdf.to_nquads(lift(spark, sf_dir, "nation.n_name"))
@@ -1023,6 +1178,17 @@ def results_json(spark, sf_dir):
     return rdf.results_json(graph(spark, sf_dir, "nation.n_name").bgp((n, p("nation.n_name"), v)).project("v"))
 
 
+@query("""SELECT '<urn:t:nation/' || n_nationkey || '>' || chr(9) || '"' || n_name || '"' || chr(9) || n_nationkey AS value FROM nation""")
+def results_tsv(spark, sf_dir):
+    m = graph(spark, sf_dir, "nation.n_name").bgp((n, p("nation.n_name"), v)).bind("k", T.integer(key("n"))).project("n", "v", "k")
+    return rdf.results_tsv(m)
+
+
+@query("""SELECT '<result><binding name="n"><uri>urn:t:nation/' || n_nationkey || '</uri></binding><binding name="v"><literal>' || n_name || '</literal></binding></result>' AS value FROM nation""")
+def results_xml(spark, sf_dir):
+    return rdf.results_xml(graph(spark, sf_dir, "nation.n_name").bgp((n, p("nation.n_name"), v)).project("n", "v"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bgp_q5(spark, sf_dir)
 
