@@ -22,7 +22,6 @@ def read_nquads(spark: SparkSession, path: str, *, scope: str = "", graph: T.Con
 
 def parse_lines(lines: DataFrame, *, scope: str = "", graph: T.Const | None = None) -> DataFrame:
     """The same for lines in a column ``value``."""
-    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select(T.numeric_escapes(F.col("value")).alias("value"))
 
     def part(n: int) -> T.Term:
         return T.parse_ntriples(F.regexp_extract("value", _LINE, n))
@@ -30,7 +29,10 @@ def parse_lines(lines: DataFrame, *, scope: str = "", graph: T.Const | None = No
     def scoped(t: T.Term) -> Column:
         return T.make(t.kind, F.when(t.kind == T.BNODE, F.concat(F.lit(scope), t.lex)).otherwise(t.lex), t.dt, t.lang).column()
 
-    checked = lines.select(F.when(F.col("value").rlike(_LINE), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.col("value")))).alias("value"))
+    plain = lines.select(F.col("value"), T.numeric_escapes(F.col("value")).alias("plain"))
+    sound = F.when(F.col("plain").rlike(_LINE), F.col("plain")).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.col("value"))))
+    # a generator, so that no later filter goes below the test or repeats it
+    checked = plain.select(F.explode(F.when(~F.col("value").rlike(r"^\s*(#.*)?$"), F.array(sound))).alias("value"))
     named = F.regexp_extract("value", _LINE, 4)
     default = (graph or DEFAULT).column()
     return checked.select(scoped(part(1)).alias("s"), part(2).alias("p"), scoped(part(3)).alias("o"), F.when(named != "", scoped(part(4))).otherwise(default).alias("g"))
