@@ -258,7 +258,7 @@ def labels(quads: DataFrame, budget: int = BUDGET, seconds: float = SECONDS) ->
 
 def canonicalize(quads: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Quads with canonical blank-node labels; literals and IRIs stay as they are."""
-    names = labels(quads, budget)
+    names = cut(labels(quads, budget))  # three joins read it
     out = quads
     for c in "sog":
         key = names.select(F.col("b").alias(f"_{c}"), F.col("label").alias(f"_{c}l"))
