@@ -72,62 +72,91 @@ class Star(Path):
     path: Path
 
 
-def _distinct(pairs: DataFrame) -> DataFrame:
-    names = pairs.columns
-    return pairs.select("*", *[F.col(n)["id"].alias(f"_{n}") for n in names]).dropDuplicates([f"_{n}" for n in names]).select(*names)
+#: Rows up to which a frontier, or what it has reached, goes to every task.
+BROADCAST_ROWS = 200_000
 
 
 def vertices(triples: DataFrame) -> DataFrame:
     """Every subject and object, once (once a graph if there is a column g)."""
     more = [c for c in triples.columns if c == "g"]
-    ends = triples.select(F.explode(F.array("s", "o")).alias("start"), *more)
-    return _distinct(ends).select("start", F.col("start").alias("end"), *more)
+    # whole terms are the key, so that hubs are merged by hash before the shuffle
+    once = triples.select(F.explode(F.array("s", "o")).alias("start"), *more).distinct()
+    return once.select("start", F.col("start").alias("end"), *more)
 
 
-def closure(pairs: DataFrame) -> DataFrame:
-    """All pairs joined by one step or more.
+def _ids(*names: str) -> list:
+    """Halves of ids as columns of their own, which are narrower than structs."""
+    return [F.col(c)["id"][h].alias(f"{c}_{h}") for c in names for h in "ab"]
 
-    Paths double in each round, so rounds grow with the logarithm of the
-    longest; ids alone are joined, and terms come back at the end.  Each round
-    is kept in the shared checkpoint folder.
+
+def _numbered(ends: DataFrame) -> DataFrame:
+    """``n, start`` (and ``g``): terms, in each graph by itself, with a number; kept, so that numbers stay."""
+    return cut(ends.withColumn("n", F.monotonically_increasing_id()))
+
+
+def _reach(steps: DataFrame) -> DataFrame:
+    """All pairs of numbers ``a, b`` joined by one step or more.
+
+    ``far`` are the pairs whose shortest path has exactly 1, 2, 4, 8 ... steps,
+    ``near`` those with a shorter one.  A pair between two such distances is one
+    of ``near``, then one of ``far``: it is found once for each middle on its
+    shortest paths, and not for each way of cutting it in two.  Where no shortest path has
+    2^k steps, none has more.
     """
-    more = [c for c in pairs.columns if c == "g"]
-    ids = [F.col(c)["id"].alias(c) for c in ("start", "end", *more)]
-    keys = ["start", "end", *more]
-    new = cut(pairs.select(*ids).distinct())
-    reach = new
+    on = lambda one, two: one.select("a", F.col("b").alias("m")).join(two.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+    far, near = cut(steps.distinct()), None
     while True:
-        # only what the last round found is joined anew, on either side
-        ahead = lambda df: df.select(F.col("start").alias("end"), F.col("end").alias("far"), *more)
-        step = lambda a, b: a.join(ahead(b), ["end", *more]).select("start", F.col("far").alias("end"), *more)
-        found = step(new, reach).union(step(reach, new)) if new is not reach else step(new, reach)
-        new = cut(found.distinct().join(reach, keys, "left_anti").select(*keys))
-        if new.isEmpty():
-            break
-        reach = reach.union(new)
-    return _with_terms(reach, pairs, keys)
+        whole = far if near is None else near.union(far)
+        if near is not None:
+            whole = whole.union(cut(on(near, far).join(whole, ["a", "b"], "left_anti")))
+        far, near = cut(on(far, far).join(whole, ["a", "b"], "left_anti")), whole
+        if far.isEmpty():
+            return near
 
 
-def _with_terms(reach: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    term = cut(pairs.select(F.explode(F.array(*keys)).alias("t")).groupBy(F.col("t")["id"].alias("n")).agg(F.first("t").alias("t")))
-    for c in keys:
-        reach = reach.join(term.select(F.col("n").alias(c), F.col("t").alias(f"{c}_t")), c)
-    return reach.select(*[F.col(f"{c}_t").alias(c) for c in keys])
+def closure(pairs: DataFrame, zero: DataFrame | None = None) -> DataFrame:
+    """All pairs joined by one step or more, and each of the vertices ``zero`` with itself.
+
+    Rounds grow with the logarithm of the longest path.  They join numbers of
+    vertices alone, a vertex being a term in a graph; terms come back at the end,
+    those of ends first, while rows are narrow, as ends are often hubs.  Each round is kept in
+    the shared checkpoint folder.
+    """
+    more = [c for c in pairs.columns if c == "g"]
+    node = _numbered((zero if zero is not None else vertices(pairs.select(F.col("start").alias("s"), F.col("end").alias("o"), *more))).select("start", *more))
+    steps = pairs.select(*_ids("start", "end", *more))
+    for c, n in (("end", "b"), ("start", "a")):
+        keys = [f"{x}_{h}" for x in (c, *more) for h in "ab"]
+        own = node.select(*[k.alias(name) for k, name in zip(_ids("start", *more), keys)], F.col("n").alias(n))
+        steps = steps.join(own, keys).drop(f"{c}_a", f"{c}_b")
+    found = _reach(steps.select("a", "b"))
+    if zero is not None:
+        found = found.where("a <> b")
+    found = found.join(node.select(F.col("n").alias("b"), F.col("start").alias("end")), "b").join(node.withColumnRenamed("n", "a"), "a").select("start", "end", *more)
+    return found if zero is None else found.unionByName(node.select("start", F.col("start").alias("end"), *more))
 
 
 def closure_from(pairs: DataFrame, end: str, term: T.Const) -> DataFrame:
-    """The closure's pairs whose ``end`` (start or end) is a constant: a frontier goes out from it, one step a round."""
+    """The closure's pairs whose ``end`` (start or end) is a constant: a frontier goes out from it, one step a round.
+
+    A small frontier goes to every task, so that the steps are read in a round, but not shuffled.
+    """
     more = [c for c in pairs.columns if c == "g"]
-    other, keys = "end" if end == "start" else "start", ["start", "end", *more]
-    steps = cut(pairs.select(*[F.col(c)["id"].alias(c) for c in keys]).distinct())
-    own = pairs.where(const_filter(end, term)).select(*[F.col(c)["id"].alias(c) for c in keys]).distinct()
-    new = reach = cut(own)
-    while not new.isEmpty():
+    other, graphs = "end" if end == "start" else "start", [f"g_{h}" for h in "ab"] if more else []
+    here, there = [f"{end}_{h}" for h in "ab"], [f"{other}_{h}" for h in "ab"]
+    steps = cut(pairs.select(*_ids("start", "end", *more)))
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    new = reach = cut(pairs.where(const_filter(end, term)).select(*_ids(other, *more)).distinct())
+    total = count = new.count()
+    while count:
         # the frontier's far side becomes the next step's near side
-        onward = new.select(F.col(end).alias("__from"), F.col(other).alias(end), *more).join(steps, [end, *more]).select(F.col("__from").alias(end), other, *more).select(*keys)
-        new = cut(onward.distinct().join(reach, keys, "left_anti").select(*keys))
-        reach = reach.union(new)
-    return _with_terms(reach, pairs, keys)
+        onward = steps.join(small(new.select(*[F.col(t).alias(h) for t, h in zip(there, here)], *graphs), count), [*here, *graphs]).select(*there, *graphs).distinct()
+        new = cut(onward.join(small(reach, total), [*there, *graphs], "left_anti"))
+        count = new.count()
+        reach, total = reach.union(new), total + count
+    # each end that was reached is the far end of some step, which has its term
+    ends = pairs.select(F.col(other), *more, *_ids(other, *more)).join(small(reach, total), [*there, *graphs], "left_semi").select(other, *more).distinct()
+    return ends.select(term.column().alias(end), other, *more).select("start", "end", *more)
 
 
 def pairs(path: Path, triples: DataFrame) -> DataFrame:
@@ -156,11 +185,12 @@ def pairs(path: Path, triples: DataFrame) -> DataFrame:
                 out = step if out is None else out.unionByName(step)
         return out if out is not None else triples.select(F.col("s").alias("start"), F.col("o").alias("end"), *more)
     if isinstance(path, Optional_):
-        return _distinct(again(path.path).unionByName(vertices(triples)))
+        # pairs of one vertex are all there by the path without a step
+        return again(path.path).where(F.col("start")["id"] != F.col("end")["id"]).distinct().unionByName(vertices(triples))
     if isinstance(path, Plus):
         return closure(again(path.path))
     if isinstance(path, Star):
-        return _distinct(closure(again(path.path)).unionByName(vertices(triples)))
+        return closure(again(path.path), vertices(triples))
     raise TypeError(path)
 
 
@@ -176,7 +206,9 @@ def match(dataset: Graph, start, path: Path, end, graph: T.Const | Var | None =
     if fixed and isinstance(path, (Plus, Star)):
         df = closure_from(pairs(path.path, triples), *fixed)
         if isinstance(path, Star):
-            df = _distinct(df.unionByName(vertices(triples).where(const_filter(*fixed))))
+            # the constant as a vertex: looked for before vertices are merged
+            own = triples.where(const_filter("s", fixed[1]) | const_filter("o", fixed[1]))
+            df = df.unionByName(vertices(own).where(const_filter(*fixed))).distinct()
     else:
         df = pairs(path, triples)
     maybe = set()

@@ -376,6 +376,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows that a task gets of narrow rows which are to be made wide.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, *keys) -> DataFrame:
+    """``df``, which is counted, dealt by keys to tasks of about ``TASK_ROWS`` rows, however few bytes these have."""
+    return df.repartition(df.count() // TASK_ROWS + 1, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)

@@ -16,7 +16,7 @@ from .history.repository import Repository, clone
 from .operators import aggregates as A
 from .operators import canon, update
 from .operators import paths as P
-from .plans.graph import DEFAULT, Graph, Solutions, Var, shared_folder, values
+from .plans.graph import DEFAULT, Graph, Solutions, Var, dealt, shared_folder, values
 from .sources import rdf, turtle
 from .sources.lift import edges, lift, lift_table, predicate
 from .streaming import changes
@@ -98,7 +98,9 @@ def order_chains(spark, sf_dir, ring: bool = False) -> DataFrame:
     own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     after = F.lead("o_orderkey").over(own)
     after = F.coalesce(after, F.first("o_orderkey").over(own)) if ring else after
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x"), after.alias("y")).where("y is not null")
+    # dealt while rows are narrow: what adaptive execution puts into one task by its bytes is too much once it is terms
+    orders = dealt(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey")
+    return orders.select(F.col("o_orderkey").alias("x"), after.alias("y")).where("y is not null")
 
 
 G3 = "(SELECT x, y FROM (SELECT o_orderkey AS x, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS y FROM orders) WHERE y IS NOT NULL)"
