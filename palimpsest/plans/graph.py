@@ -11,6 +11,7 @@ strategies are left to Catalyst and adaptive execution.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -380,9 +381,16 @@ def shared_folder(spark: SparkSession) -> str:
 TASK_ROWS = 100_000
 
 
-def dealt(df: DataFrame, *keys) -> DataFrame:
-    """``df``, which is counted, dealt by keys to tasks of about ``TASK_ROWS`` rows, however few bytes these have."""
-    return df.repartition(df.count() // TASK_ROWS + 1, *keys)
+def dealt(df: DataFrame, *keys, rows: int = TASK_ROWS) -> DataFrame:
+    """``df``, which is counted, dealt by keys to tasks of about ``rows`` rows, however few bytes these have."""
+    return df.repartition(df.count() // rows + 1, *keys)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: what is dear to make and read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

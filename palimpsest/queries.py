@@ -16,7 +16,7 @@ from .history.repository import Repository, clone
 from .operators import aggregates as A
 from .operators import canon, update
 from .operators import paths as P
-from .plans.graph import DEFAULT, Graph, Solutions, Var, dealt, shared_folder, values
+from .plans.graph import DEFAULT, Graph, Solutions, Var, dealt, shared_folder, stored, values
 from .sources import rdf, turtle
 from .sources.lift import edges, lift, lift_table, predicate
 from .streaming import changes
@@ -1151,8 +1151,9 @@ def read_turtle(spark, sf_dir):
     """A Turtle document for each customer: prefixes, property lists, a nested blank node and a number."""
     d = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.format_string("PREFIX s: <urn:s#> # names\n<urn:t:customer/%d> a s:C ; s:in [ s:name '%s' ] ; s:bal %s .", "c_custkey", "n_name", F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
-    q = turtle.parse_documents(d.select(F.col("c_custkey").cast("string").alias("path"), text.alias("value")))
-    m = Graph(q, merge=False).bgp((c, I(T.RDF + "type"), I("urn:s#C")), (c, I("urn:s#in"), n), (n, I("urn:s#name"), v), (c, I("urn:s#bal"), w))
+    # parsed once for all patterns, and by many tasks, in however few parts the table comes
+    documents = dealt(d.select(F.col("c_custkey").cast("string").alias("path"), text.alias("value")), "path", rows=10_000)
+    m = Graph(stored(turtle.parse_documents(documents)), merge=False).bgp((c, I(T.RDF + "type"), I("urn:s#C")), (c, I("urn:s#in"), n), (n, I("urn:s#name"), v), (c, I("urn:s#bal"), w))
     return m.df.select(key("c").alias("c"), lex("v").alias("nation"), lex("w").cast("double").alias("bal"))
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from palimpsest.operators import paths as P
 from palimpsest.plans.graph import Graph, Var
 from palimpsest.queries import STEP, _vertex, subject_const
+from palimpsest.sources import turtle
 from palimpsest.sources.lift import edges
 
 x, y = Var("x"), Var("y")
@@ -59,3 +61,9 @@ def test_closure_of_cycles_and_branches(spark):
 def test_frontier_does_not_shuffle_the_steps(spark):
     found, size = shuffled(spark, lambda: P.match(chains(spark, 1000, 16), subject_const("v", 16), P.Star(STEP), y).df.count())
     assert found == 16 and size < 100_000, size
+
+
+def test_small_turtle_documents_share_batches():
+    documents = pd.DataFrame({"path": [str(i) for i in range(6000)], "value": [f"<urn:{i}> a <urn:c> ; <urn:p> [] ." for i in range(6000)]})
+    out = [len(b) for b in turtle._statements("", "")(iter([documents[:2500], documents[2500:]]))]
+    assert out == [10_000, 2_000]
