@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..plans.graph import DistinctTerms
+from ..plans.graph import DistinctTerms, cut
 
 
 def count(name: str | None = None, distinct: bool = False) -> T.Term:
@@ -80,3 +80,22 @@ def predicate_stats(quads: DataFrame) -> DataFrame:
     return quads.groupBy(F.col("p")["lex"].alias("predicate")).agg(
         F.count("*").alias("triples"), F.count_distinct(F.col("s")["id"]).alias("subjects"), F.count_distinct(F.col("o")["id"]).alias("objects")
     )
+
+
+#: Ranges of values in which each group's rows are counted.
+RANGES = 64
+
+
+def count_below(rows: DataFrame) -> DataFrame:
+    """``x, n``: of rows ``x, v, low, high`` with one x, the pairs of a low one and a high one of larger v; groups without a pair are left out.
+
+    Equal values are one row, and a group is sorted in ranges of values, so that no task sorts a whole group.
+    """
+    kept = cut(rows.groupBy("x", "v").agg(F.sum("low").alias("low"), F.sum("high").alias("high")))
+    cuts = kept.approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.005)
+    kept = kept.withColumn("part", sum((F.col("v") >= F.lit(b)).cast("int") for b in sorted(set(cuts))) if cuts else F.lit(0))
+    over = Window.partitionBy("x").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = kept.groupBy("x", "part").agg(F.sum("high").alias("own")).select("x", "part", F.coalesce(F.sum("own").over(over), F.lit(0)).alias("later"))
+    inside = Window.partitionBy("x", "part").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    above = kept.withColumn("above", F.coalesce(F.sum("high").over(inside), F.lit(0))).join(parts, ["x", "part"])
+    return above.groupBy("x").agg(F.sum(F.col("low") * (F.col("above") + F.col("later"))).alias("n")).where("n > 0")

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+from palimpsest.operators import aggregates as A
 from palimpsest.operators import paths as P
 from palimpsest.plans.graph import Graph, Var
 from palimpsest.queries import STEP, _vertex, subject_const
@@ -67,3 +68,13 @@ def test_small_turtle_documents_share_batches():
     documents = pd.DataFrame({"path": [str(i) for i in range(6000)], "value": [f"<urn:{i}> a <urn:c> ; <urn:p> [] ." for i in range(6000)]})
     out = [len(b) for b in turtle._statements("", "")(iter([documents[:2500], documents[2500:]]))]
     assert out == [10_000, 2_000]
+
+
+def test_pairs_below_are_counted_without_being_made(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([float(rng.randrange(40)), float("inf"), float("-inf")]), i % 3 > 0, i % 3 == 0) for i in range(300)] + [("c", 1.0, True, False), ("c", 1.0, False, True)]
+    df = spark.createDataFrame([(a, b, int(c), int(d)) for a, b, c, d in rows], "x string, v double, low int, high int")
+    want = {x: sum(a[0] == b[0] == x and a[2] and b[3] and a[1] < b[1] for a in rows for b in rows) for x in "ab"}
+    assert {r.x: r.n for r in A.count_below(df).collect()} == want
+    many = spark.range(400_000).selectExpr("'a' as x", "cast(id as double) as v", "cast(id % 2 as int) as low", "cast(1 - id % 2 as int) as high")
+    assert A.count_below(many).first().n == 200_000 * 199_999 // 2
