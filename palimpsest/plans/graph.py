@@ -289,16 +289,19 @@ class Graph:
                     first[x.name] = column
         return Solutions(df.select(*[F.col(c).alias(v) for v, c in first.items()]))
 
-    def bgp(self, *patterns: tuple, graph: T.Const | Var | None = None, given: dict[str, T.Const] | None = None) -> Solutions:
+    def bgp(self, *patterns: tuple, graph: T.Const | Var | None = None, given: dict[str, T.Const] | None = None, closing: str | None = None) -> Solutions:
         """A basic graph pattern.  Joins follow shared variables, patterns with more constants first.
 
+        ``closing`` is a join hint for patterns that close a cycle, their variables being bound by then.  Open paths
+        may be many more than the pattern's own rows: with ``shuffle_hash`` these alone are held and nothing is sorted.
+
         A pattern of constants alone is an existence test of the whole.
         ``given`` are variables with preset values: scans see constants in their
         place, and the solutions have them.
         """
         if given:
             preset = lambda t: given.get(t.name, t) if isinstance(t, Var) else t
-            found = self.bgp(*[tuple(preset(t) for t in one) for one in patterns], graph=preset(graph))
+            found = self.bgp(*[tuple(preset(t) for t in one) for one in patterns], graph=preset(graph), closing=closing)
             named = [x.name for one in (*patterns, (graph,)) for x in one if isinstance(x, Var)]
             cells = [given[v].column().alias(v) for v in given if v in named]
             return Solutions(found.df.select("*", *cells), found.maybe)
@@ -312,6 +315,8 @@ class Graph:
             best = min(waiting, key=lambda p: (not (bound(p) & have) if out else False, -len(bound(p) & have), len(bound(p)), patterns.index(p)))
             waiting.remove(best)
             part = self.scan(*best, graph=graph)
+            if closing and len(bound(best)) > 1 and bound(best) <= have:
+                part = Solutions(part.df.hint(closing), part.maybe)
             out = part if out is None else out.join(part)
         if out is None:
             out = Solutions(self.quads.sparkSession.range(1).select())

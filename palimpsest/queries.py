@@ -196,7 +196,7 @@ def bgp_triangle(spark, sf_dir):
 @query(TRIANGLES)
 def bgp_triangle_joins(spark, sf_dir):
     """The same by joins of three patterns."""
-    return Graph(edges(edge_table(spark, sf_dir)), merge=False).bgp((x, E, y), (y, E, z), (z, E, x)).df.agg(F.count("*").alias("n"))
+    return Graph(edges(edge_table(spark, sf_dir)), merge=False).bgp((x, E, y), (y, E, z), (z, E, x), closing="shuffle_hash").df.agg(F.count("*").alias("n"))
 
 
 #: An order's customer, and back to one order in four of each customer's, so that cycles of four are many and grow with the orders.
@@ -211,7 +211,7 @@ def both_ways(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH e AS (SELECT * FROM {G5}) SELECT count(*) AS n FROM e a JOIN e b ON a.y = b.x JOIN e c ON b.y = c.x JOIN e d ON c.y = d.x AND d.y = a.x")
 def bgp_4cycle(spark, sf_dir):
-    return Graph(edges(both_ways(spark, sf_dir)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w)).df.agg(F.count("*").alias("n"))
+    return Graph(edges(both_ways(spark, sf_dir)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w), closing="shuffle_hash").df.agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT x FROM {G4} WHERE x = y")
@@ -229,12 +229,12 @@ def bgp_triangle_all(spark, sf_dir):
 
 @query(TRIANGLES_ALL)
 def bgp_triangle_joins_all(spark, sf_dir):
-    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((x, E, y), (y, E, z), (z, E, x)).df.agg(F.count("*").alias("n"))
+    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((x, E, y), (y, E, z), (z, E, x), closing="shuffle_hash").df.agg(F.count("*").alias("n"))
 
 
 @query(f"WITH e AS (SELECT * FROM {G4}) SELECT count(*) AS n FROM e a JOIN e b ON a.y = b.x JOIN e c ON b.y = c.x JOIN e d ON c.y = d.x AND d.y = a.x")
 def bgp_4cycle_all(spark, sf_dir):
-    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w)).df.agg(F.count("*").alias("n"))
+    return Graph(edges(order_chains(spark, sf_dir, ring=True)), merge=False).bgp((w, E, x), (x, E, y), (y, E, z), (z, E, w), closing="shuffle_hash").df.agg(F.count("*").alias("n"))
 
 
 Q5 = ("lineitem.l_orderkey", "lineitem.l_suppkey", "lineitem.l_extendedprice", "lineitem.l_discount", "orders.o_custkey", "customer.c_nationkey", "supplier.s_nationkey", "nation.n_name")

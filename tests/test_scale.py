@@ -3,10 +3,11 @@
 import random
 
 import pandas as pd
+from palimpsest.functions.terms import I
 from palimpsest.operators import aggregates as A
 from palimpsest.operators import paths as P
 from palimpsest.plans.graph import Graph, Var
-from palimpsest.queries import STEP, _vertex, subject_const
+from palimpsest.queries import STEP, _vertex, bgp_triangle_joins, subject_const
 from palimpsest.sources import turtle
 from palimpsest.sources.lift import edges
 
@@ -78,3 +79,18 @@ def test_pairs_below_are_counted_without_being_made(spark):
     assert {r.x: r.n for r in A.count_below(df).collect()} == want
     many = spark.range(400_000).selectExpr("'a' as x", "cast(id as double) as v", "cast(id % 2 as int) as low", "cast(1 - id % 2 as int) as high")
     assert A.count_below(many).first().n == 200_000 * 199_999 // 2
+
+
+def test_open_paths_are_not_sorted_to_close_them(spark):
+    e = I("urn:e")
+    z = Var("z")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bgp_triangle_joins(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ShuffledHashJoin") == 1
+    q = Graph(edges(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 1), (5, 5)], "x long, y long")), merge=False)
+    for closing in (None, "shuffle_hash"):
+        assert q.bgp((x, e, y), (y, e, z), (z, e, x), closing=closing).df.count() == 4
