@@ -162,9 +162,8 @@ class Solutions:
         return Solutions(self.df.select(*[F.col(v).alias(back.get(v, v)) for v in self.vars]), {back.get(v, v) for v in self.maybe})
 
     def distinct(self) -> Solutions:
-        ids = [F.col(v)["id"].alias(f"_{i}") for i, v in enumerate(self.vars)]
-        keyed = self.df.select("*", *ids)
-        return Solutions(keyed.dropDuplicates([f"_{i}" for i in range(len(ids))]).select(*self.vars), self.maybe)
+        # whole terms are the key: they are merged by hash where they are; by ids, the rest of each would have to be sorted
+        return Solutions(self.df.distinct(), self.maybe)
 
     def order_by(self, *keys) -> Solutions:
         """By value; a key is a variable, or (variable, "desc")."""
