@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.update import QUAD, signed, subtract
-from ..plans.graph import distinct_quads
+from ..plans.graph import dealt
 
 
 #: Commits up to which a chain's numbers go to every task; of more, they are joined by a shuffle.
@@ -24,8 +24,24 @@ def numbered(deltas: DataFrame, chain: list[str]) -> DataFrame:
     return deltas.join(F.broadcast(places) if len(chain) <= BROADCAST_COMMITS else places, "commit")
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select("*", *[F.col(c)["id"].alias(f"_{c}") for c in QUAD])
+
+
+_KEYS = [f"_{c}" for c in QUAD]
+
+
 def _by_quad(df: DataFrame):
-    return df.groupBy(*[F.col(c)["id"].alias(f"_{c}") for c in QUAD])
+    """Groups of one quad's rows of a table that is cheap to count.
+
+    Rows are dealt by quad first, in small parts: sorting a scan's whole part for its few rows a quad takes memory and saves nothing.
+    """
+    return dealt(_keyed(df), *_KEYS).groupBy(*_KEYS)
+
+
+def _once(quads: DataFrame) -> DataFrame:
+    """Set semantics by term ids; rows are dealt first, but not counted, as they may be dear to make."""
+    return _keyed(quads).repartition(*_KEYS).dropDuplicates(_KEYS).select(*QUAD)
 
 
 def snapshot(deltas: DataFrame, chain: list[str]) -> DataFrame:
@@ -42,13 +58,13 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def merge_union(target: DataFrame, source: DataFrame) -> DataFrame:
     """Set union: the source's deletions are not applied."""
-    return distinct_quads(target.select(*QUAD).unionByName(source.select(*QUAD)))
+    return _once(target.select(*QUAD).unionByName(source.select(*QUAD)))
 
 
 def merge_three_way(base: DataFrame, target: DataFrame, source: DataFrame) -> DataFrame:
     """What the source added and removed since the base, applied to the target."""
     added, removed = subtract(source.select(*QUAD), base), subtract(base.select(*QUAD), source)
-    return distinct_quads(subtract(target.select(*QUAD), removed).unionByName(added))
+    return _once(subtract(target.select(*QUAD), removed).unionByName(added))
 
 
 def squash(base: DataFrame, target: DataFrame, source: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..operators import canon
 from ..operators.update import QUAD
-from ..plans.graph import DEFAULT, const_filter
+from ..plans.graph import DEFAULT, TASK_ROWS, const_filter
 from . import algebra
 
 NAME = re.compile(r"[A-Za-z0-9_./-]{1,128}")
@@ -377,6 +377,8 @@ class Repository:
             df = other.deltas(missing)
             if without:
                 df = df.where(~F.col("g")["lex"].isin([g.value for g in without]))
+            # small tasks of a few commits each: a task sorts its rows by commit before it writes them
+            df = df.repartitionByRange(df.count() // TASK_ROWS + 1, "commit", F.col("s")["id"]["a"])
             df.write.mode("append").partitionBy("commit").parquet(f"{self.root}/deltas")
             have = set(self.files.names("deltas"))
             for c in missing:

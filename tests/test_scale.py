@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+from palimpsest.history import algebra
 from palimpsest.functions.terms import I
 from palimpsest.operators import aggregates as A
 from palimpsest.operators import paths as P
@@ -10,6 +11,7 @@ from palimpsest.plans.graph import Graph, Var
 from palimpsest.queries import STEP, _vertex, bgp_triangle_joins, subject_const
 from palimpsest.sources import turtle
 from palimpsest.sources.lift import edges
+from pyspark.sql import functions as F
 
 x, y = Var("x"), Var("y")
 
@@ -94,3 +96,18 @@ def test_open_paths_are_not_sorted_to_close_them(spark):
     q = Graph(edges(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 1), (5, 5)], "x long, y long")), merge=False)
     for closing in (None, "shuffle_hash"):
         assert q.bgp((x, e, y), (y, e, z), (z, e, x), closing=closing).df.count() == 4
+
+
+def test_distinct_sorts_nothing(spark):
+    rows = Graph(edges(spark.range(1000).selectExpr("id % 7 as x", "id % 5 as y")), merge=False).bgp((x, I("urn:e"), y)).distinct()
+    assert "SortAggregate" not in rows.df._jdf.queryExecution().sparkPlan().toString()
+    assert rows.df.count() == 35
+
+
+def test_snapshot_does_not_sort_what_it_scans(spark):
+    quads = edges(spark.range(200).selectExpr("id as x", "id % 5 as y")).select(F.lit("c").alias("commit"), F.lit(1).cast("tinyint").alias("op"), "*")
+    live = algebra.snapshot(quads.unionByName(quads.where("false")), ["c"])
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    # one shuffle, and both steps of the aggregate above it
+    assert plan.count("- Exchange ") == 1 and plan.rindex("SortAggregate") < plan.index("- Exchange ")
+    assert live.count() == 200
