@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import itertools
 import time
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..plans.graph import cut, distinct_quads
+from ..plans.graph import cut, stored
 
 #: Permutations that a component's ties may take before it fails as too symmetric.
 BUDGET = 20_000
@@ -78,20 +79,61 @@ def collisions(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def components(quads: DataFrame) -> DataFrame:
-    """``b, component``: the smallest label that a blank node is connected with."""
+def _linked(quads: DataFrame) -> DataFrame:
+    """``b, component`` of the blank nodes that have neighbours."""
     edges = cut(_neighbours(quads))
-    labels = cut(_mentions(quads).select("b").distinct().withColumn("component", F.col("b")))
+    labels = cut(edges.groupBy(F.col("u").alias("b")).agg(F.least("u", F.min("v")).alias("component")))
     while True:
         near = edges.join(labels.select(F.col("b").alias("v"), "component"), "v").groupBy(F.col("u").alias("b")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "b", "left").select("b", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        spread = labels.join(near, "b").select("b", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("b").alias("component"), F.col("component").alias("up"))
-        after = cut(spread.join(up, "component", "left").select("b", "old", F.least("component", "up").alias("component")))
+        after = cut(spread.join(up, "component").select("b", "old", F.least("component", "up").alias("component")))
         labels = after.select("b", "component")
-        if not after.where("component <> old").limit(1).count():
+        if after.where("component <> old").isEmpty():
             return labels
 
 
+def components(quads: DataFrame) -> DataFrame:
+    """``b, component``: the smallest label that a blank node is connected with."""
+    return _mentions(quads).select("b").distinct().join(_linked(quads), "b", "left").select("b", F.coalesce("component", "b").alias("component"))
+
+
+def _others(rows: DataFrame) -> DataFrame:
+    """Mentions with the one or two other blank nodes of their quad, ``v`` and ``w``, NULL where there are none."""
+    written = F.array_distinct(F.filter(F.array("ts", "to", "tg"), lambda x: x.startswith("_:") & (x != F.concat(F.lit("_:"), F.col("b")))))
+    return rows.withColumn("_l", written).select("*", *[F.substring(F.get("_l", F.lit(i)), 3, 2**31 - 1).alias(x) for i, x in enumerate("vw")]).drop("_l")
+
+
+def _most(rows: DataFrame) -> int:
+    """The most other blank nodes that a mention of ``_others`` has."""
+    return rows.agg(F.max(F.expr("if(w is not null, 2, if(v is not null, 1, 0))"))).first()[0] or 0
+
+
+def _named(rows: DataFrame, names: DataFrame, given: str, most: int) -> list[tuple[str, DataFrame]]:
+    """Mentions of ``_others`` that have others, by which of ``v, w`` these are, with their ``given`` as ``v_is`` and ``w_is``.
+
+    Each part is joined for the nodes that it has: IRIs, literals and the default graph
+    are the same in many rows, and as keys, or as NULLs, they would bring all of these to one task.
+    """
+    of = lambda x: names.select(F.col("b").alias(x), F.col(given).alias(f"{x}_is"))
+    one = lambda: rows.where("v is not null and w is null").join(of("v"), "v")
+    two = lambda: rows.where("w is not null").join(of("w"), "w").join(of("v"), "v")
+    return [("v", one()), ("vw", two())][:most]
+
+
+def _written(own, others: str = ""):
+    """A mention's quad, with ``own`` for its blank node and the ``_is`` columns for others."""
+
+    def part(c):
+        named = lambda x: F.col(c) == F.concat(F.lit("_:"), F.col(x))
+        out = F.when(named("b"), own)
+        for x in others:
+            out = out.when(named(x), F.col(f"{x}_is"))
+        return out.otherwise(F.col(c))
+
+    return F.concat_ws(" ", part("ts"), F.col("tp"), part("to"), part("tg"))
+
+
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -191,40 +233,46 @@ def _settled(hashes: DataFrame) -> DataFrame:
 def refined(rows: DataFrame) -> DataFrame:
     """``component, b, hash, settled``: first-degree hashes, refined until a component has no ties or a round finds nothing new.
 
-    ``rows`` are mentions with their component.  A round joins each mention with the hashes of the other
-    blank nodes in its quad; only components that the last round made finer take part in the next.
+    ``rows`` are mentions with their component.  A round joins each mention of a quad that has other blank nodes with
+    the hashes of these; lines of other quads stay with their node.  Only components that the last round made finer take part in the next.
     """
-    parts = rows.select("component", "b").distinct()
-    hashes = parts.join(first_degree(rows), "b").select("component", "b", "hash")
-    hashes = cut(hashes.join(_settled(hashes), "component"))
-    done = None
-    while True:
-        # a component settled, or no finer than the round before, is ready
-        ready = hashes.where("settled" if "before" not in hashes.columns else "settled or kinds <= before").select("component", "b", "hash", "settled")
-        done = ready if done is None else done.unionByName(ready)
-        todo = hashes.join(ready.select("component").distinct(), "component", "left_anti").select("component", "b", "hash", "kinds")
-        if todo.isEmpty():
-            return done
-        near = rows.join(todo.select("b"), "b", "left_semi")
-        for c in ("ts", "to", "tg"):
-            known = todo.select(F.concat(F.lit("_:"), "b").alias(c), F.col("hash").alias(f"{c}_hash"))
-            near = near.join(known, c, "left")
-        shown = lambda c: F.when(F.col(c) == F.concat(F.lit("_:"), F.col("b")), F.lit("_:a")).otherwise(F.coalesce(f"{c}_hash", c))
-        line = F.concat_ws(" ", shown("ts"), "tp", shown("to"), shown("tg"))
-        about = near.groupBy("b").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-        after = todo.join(about, "b").select("component", "b", F.sha2(F.concat_ws("\n", "hash", "lines"), 256).alias("hash"), F.col("kinds").alias("before"))
+    each, mark = rows if "v" in rows.columns else _others(rows), F.lit("_:a")
+    parts = each.groupBy("b").agg(F.first("component").alias("component"), F.collect_list(F.when(F.col("v").isNull(), _written(mark))).alias("alone"))
+    hashes = parts.join(first_degree(rows), "b").select("component", "b", "hash", "alone")
+    hashes = cut(hashes.join(_settled(hashes), "component").withColumn("before", F.lit(0)))
+    # a component settled, or no finer than the round before, is ready
+    ready = "settled or kinds <= before"
+    done, todo = hashes.where(ready).select("component", "b", "hash", "settled"), hashes.where(f"not ({ready})")
+    if todo.isEmpty():
+        return done
+    links = cut(each.where("v is not null").select("b", "v", "w", "ts", "tp", "to", "tg"))
+    most = _most(links)
+    while not todo.isEmpty():
+        # all nodes of a component take part or none: mentions in one that is ready find no hash
+        lines = [near.select("b", _written(mark, others).alias("line")) for others, near in _named(links, todo, "hash", most)]
+        about = reduce(DataFrame.unionByName, lines).groupBy("b").agg(F.collect_list("line").alias("lines"))
+        text = F.array_join(F.array_sort(F.concat("alone", "lines")), "\n")
+        after = todo.join(about, "b").select("component", "b", F.sha2(F.concat_ws("\n", "hash", text), 256).alias("hash"), "alone", F.col("kinds").alias("before"))
         hashes = cut(after.join(_settled(after), "component"))
+        done, todo = done.unionByName(hashes.where(ready).select(*done.columns)), hashes.where(f"not ({ready})")
+    return done
 
 
 def _settled_labels(rows: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Labels of settled components: a node's hash, and its component's content as the sum of its lines' hashes."""
+    """Labels of settled components: a node's hash, and its component's content as the sum of its lines' hashes.
+
+    ``rows`` are mentions of ``_others``, each there once.
+    """
     names = hashes.select("component", "b", F.substring("hash", 1, 32).alias("local"))
-    lines = rows.join(hashes.select("component").distinct(), "component", "left_semi").select("component", "ts", "tp", "to", "tg").distinct()
-    for c in ("ts", "to", "tg"):
-        lines = lines.join(names.select(F.concat(F.lit("_:"), "b").alias(c), F.concat(F.lit("_:"), "local").alias(f"{c}_name")), c, "left")
-    digest = F.sha2(F.concat_ws(" ", *[F.coalesce(f"{c}_name", c) if c != "tp" else c for c in ("ts", "tp", "to", "tg")]), 256)
+    known = names.select("b", F.concat(F.lit("_:"), "local").alias("name"))
+    # a quad counts once, where its smallest label is mentioned
+    once = rows.where("(v is null or b < v) and (w is null or b < w)").join(known, "b")
+    own = F.col("name")
+    lines = [once.where("v is null").select("component", _written(own).alias("line"))]
+    lines += [near.select("component", _written(own, others).alias("line")) for others, near in _named(once, known, "name", _most(rows))]
+    digest = F.sha2("line", 256)
     part = lambda i: F.sum(F.conv(F.substring(digest, i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    content = lines.groupBy("component").agg(F.sha2(F.concat_ws(" ", part(1), part(16), F.count("*").cast("string")), 256).alias("content"))
+    content = reduce(DataFrame.unionByName, lines).groupBy("component").agg(F.sha2(F.concat_ws(" ", part(1), part(16), F.count("*").cast("string")), 256).alias("content"))
     return names.join(content, "component")
 
 
@@ -244,27 +292,42 @@ def labels(quads: DataFrame, budget: int = BUDGET, seconds: float = SECONDS) ->
     Raises ``BudgetExceeded`` for a component with ties of more than ``MOST_MENTIONS`` mentions; one whose search takes more
     than ``budget`` permutations or ``seconds`` fails its task.
     """
-    rows = cut(_mentions(quads).distinct().join(components(quads), "b"))
-    hashes = cut(refined(rows))
-    tied = rows.join(hashes.where("not settled").select("component").distinct(), "component", "left_semi")
-    large = tied.groupBy("component").count().where(F.col("count") > MOST_MENTIONS).head(1)
-    if large:
-        raise BudgetExceeded(f"the component of {large[0]['component']} has ties and {large[0]['count']} mentions")
-    searched = tied.select("component", "ts", "tp", "to", "tg").distinct().groupBy("component").applyInPandas(_solve(budget, seconds), "component string, b string, local string, content string")
-    solved = cut(_settled_labels(rows, hashes.where("settled")).select("component", "b", "local", "content").unionByName(searched))
+    mentions = _others(_mentions(quads).distinct())
+    rows = cut(mentions.join(_linked(quads), "b", "left").withColumn("component", F.coalesce("component", "b")))
+    hashes = refined(rows)
+    solved = _settled_labels(rows, hashes.where("settled")).select("component", "b", "local", "content")
+    ties = hashes.where("not settled").select("component").distinct()
+    if not ties.isEmpty():
+        tied = rows.join(ties, "component", "left_semi")
+        large = tied.groupBy("component").count().where(F.col("count") > MOST_MENTIONS).head(1)
+        if large:
+            raise BudgetExceeded(f"the component of {large[0]['component']} has ties and {large[0]['count']} mentions")
+        searched = tied.select("component", "ts", "tp", "to", "tg").distinct().groupBy("component").applyInPandas(_solve(budget, seconds), "component string, b string, local string, content string")
+        solved = solved.unionByName(searched)
+    solved = cut(solved)
     copies = _copies(solved.select("component", "content").distinct())
     return solved.join(copies, "component").select("b", F.concat_ws("_", F.lit("c14n"), F.substring("content", 1, 24), "copy", "local").alias("label"))
 
 
 def canonicalize(quads: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Quads with canonical blank-node labels; literals and IRIs stay as they are."""
-    names = cut(labels(quads, budget))  # three joins read it
+    """Quads with canonical blank-node labels; literals and IRIs stay as they are.
+
+    Different blank nodes get different labels, so quads are made distinct before, which also deals those of few files to many tasks.
+    """
+    quads = stored(quads.select("s", "p", "o", "g").distinct())
+    found = quads.agg(*[F.max(_blank(c)).alias(c) for c in "sog"]).first()
+    places = [c for c in "sog" if found[c]]
+    if not places:
+        return quads
+    names = cut(labels(quads, budget))  # the joins read it
     out = quads
-    for c in "sog":
+    for c in places:
         key = names.select(F.col("b").alias(f"_{c}"), F.col("label").alias(f"_{c}l"))
-        out = out.join(key, F.when(_blank(c), F.col(c)["lex"]) == F.col(f"_{c}"), "left")
-    cell = lambda c: F.when(_blank(c), T.bnode(F.col(f"_{c}l")).column()).otherwise(F.col(c)).alias(c)
-    return distinct_quads(out.select(cell("s"), "p", cell("o"), cell("g")))
+        # no label has a space: other terms are dealt by their quad, not to one task
+        free = F.concat(F.lit(" "), F.hex(F.xxhash64(*[F.col(x)["id"] for x in "spog"])))
+        out = out.join(key, F.when(_blank(c), F.col(c)["lex"]).otherwise(free) == F.col(f"_{c}"), "left")
+    cell = lambda c: (F.when(_blank(c), T.bnode(F.col(f"_{c}l")).column()).otherwise(F.col(c)) if c in places else F.col(c)).alias(c)
+    return out.select(cell("s"), "p", cell("o"), cell("g"))
 
 
 def cascade(quads: DataFrame) -> tuple[str, DataFrame]:

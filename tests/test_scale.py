@@ -4,10 +4,12 @@ import random
 
 import pandas as pd
 from palimpsest.history import algebra
+from palimpsest.functions import terms as T
 from palimpsest.functions.terms import I
 from palimpsest.operators import aggregates as A
+from palimpsest.operators import canon
 from palimpsest.operators import paths as P
-from palimpsest.plans.graph import Graph, Var
+from palimpsest.plans.graph import DEFAULT, Graph, Var
 from palimpsest.queries import STEP, _vertex, bgp_triangle_joins, subject_const
 from palimpsest.sources import turtle
 from palimpsest.sources.lift import edges
@@ -111,3 +113,36 @@ def test_snapshot_does_not_sort_what_it_scans(spark):
     # one shuffle, and both steps of the aggregate above it
     assert plan.count("- Exchange ") == 1 and plan.rindex("SortAggregate") < plan.index("- Exchange ")
     assert live.count() == 200
+
+
+def test_canonical_labels_read_quads_once_and_heap_no_constants(spark):
+    """Chains of three with a literal each, all in the default graph: neither that, nor the literal, is a join's key."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    node = lambda c: T.bnode(F.concat(F.lit("b"), F.col(c).cast("string"))).column()
+    cells = lambda s, p, o: [node(s).alias("s"), I(p).column().alias("p"), o.alias("o"), DEFAULT.column().alias("g")]
+    ids = spark.range(3000).selectExpr("id as k", "id + 1 as after")
+    quads = ids.where("k % 3 < 2").select(*cells("k", "urn:next", node("after"))).unionByName(ids.select(*cells("k", "urn:is", T.L("x").column())))
+    quads = quads.mapInArrow(counted, quads.schema)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, made = stages(spark, lambda: canon.canonicalize(quads).select(F.col("s")["lex"].alias("s"), F.col("o")["lex"].alias("o")).collect())
+    finally:
+        for name in ("coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(set(found)) == 5000 and len({r.s for r in found}) == 3000
+    assert seen.value == 5000
+    store = spark._jsc.sc().statusStore()
+    for s in made:
+        if s.shuffleReadRecords() > 3000:
+            tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+            most = max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))
+            assert most < 0.4 * s.shuffleReadRecords(), (s.stageId(), most, s.shuffleReadRecords())
