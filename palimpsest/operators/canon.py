@@ -83,6 +83,8 @@ def _linked(quads: DataFrame) -> DataFrame:
     """``b, component`` of the blank nodes that have neighbours."""
     edges = cut(_neighbours(quads))
     labels = cut(edges.groupBy(F.col("u").alias("b")).agg(F.least("u", F.min("v")).alias("component")))
+    if labels.isEmpty():
+        return labels
     while True:
         near = edges.join(labels.select(F.col("b").alias("v"), "component"), "v").groupBy(F.col("u").alias("b")).agg(F.min("component").alias("near"))
         spread = labels.join(near, "b").select("b", F.col("component").alias("old"), F.least("component", "near").alias("component"))

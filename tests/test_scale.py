@@ -146,3 +146,13 @@ def test_canonical_labels_read_quads_once_and_heap_no_constants(spark):
             tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
             most = max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))
             assert most < 0.4 * s.shuffleReadRecords(), (s.stageId(), most, s.shuffleReadRecords())
+
+
+def test_nodes_without_neighbours_take_no_rounds(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(canon, "cut", lambda df, cut=canon.cut: kept.append(cut(df)) or kept[-1])
+    node = T.bnode(F.concat(F.lit("b"), F.col("id").cast("string"))).column()
+    quads = spark.range(40).select(node.alias("s"), I("urn:is").column().alias("p"), T.literal((F.col("id") % 4).cast("string")).column().alias("o"), DEFAULT.column().alias("g"))
+    assert canon.canonicalize(quads).select(F.col("s")["lex"]).distinct().count() == 40
+    # edges, components, mentions, hashes, contents, labels
+    assert len(kept) == 6
